@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.functions.ship import ship
 from twinfold.llm.kernels import chunks
 
 NONE = np.int32(2**31 - 1)
@@ -256,6 +257,7 @@ def _bpe(blob, pattern: str) -> Bpe:
 
 def load_ranks(spark: SparkSession, path: str):
     """The rank file as a broadcast variable; a vocabulary file is bounded, and its size is checked."""
+    ship(spark)
     with open(path, "rb") as f:
         data = f.read(MAX_RANK_FILE + 1)
     if len(data) > MAX_RANK_FILE:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from twinfold.llm.op1_bpe import op1_bpe
+from twinfold.llm.op2_substrings import op2_substrings
+from twinfold.llm.op10_jaccard import op10_jaccard
 
-QUERIES = {"op1_bpe": op1_bpe}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op10_jaccard": op10_jaccard}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,18 @@
+"""Cutting lineage in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where a local session names none."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinfold-"))
+    return df.checkpoint(eager=True)
