@@ -126,8 +126,8 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about so many bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts have about so many bytes, and of so many rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -136,6 +136,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(to, at + rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinfold.functions.ship import ship
 from twinfold.llm.kernels import chunks
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """One row per document: the id column, ids (array of int), decoded (binary)."""
     spark = docs.sparkSession
     blob = load_ranks(spark, path)
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(blob, pattern)

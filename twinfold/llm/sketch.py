@@ -119,20 +119,21 @@ def repeated(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return Repeated(df.sparkSession.sparkContext.broadcast(rows))
 
 
-class Counts:
-    """Counts of keys up to 255 from a sketch of one row."""
+class Members:
+    """Tells in a worker which keys may be in a set."""
 
-    BITS = 23
+    BITS = 24
 
-    def __init__(self, table: Broadcast):
-        self.table = table
+    def __init__(self, bits: Broadcast):
+        self.bits = bits
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return self.table.value[cells(keys, 0, self.BITS)]
+        return self.bits.value[cells(keys, 0, self.BITS)]
 
 
-def counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> Counts:
-    table = np.zeros(1 << Counts.BITS, np.uint8)
-    for _, first, cell, count in merged(df, keys, Counts.BITS, 1, 255):
-        table[first + cell.astype(np.int64)] = count
-    return Counts(df.sparkSession.sparkContext.broadcast(table))
+def members(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> Members:
+    """A table of 16 MB at most, whatever the set; a set that fills it makes it say yes more often."""
+    table = np.zeros(1 << Members.BITS, bool)
+    for _, first, cell, _ in merged(df, keys, Members.BITS, 1, 1):
+        table[first + cell.astype(np.int64)] = True
+    return Members(df.sparkSession.sparkContext.broadcast(table))
