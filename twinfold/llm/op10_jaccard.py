@@ -5,23 +5,32 @@ words (with fewer words, the whole sequence as one).  Two documents link when
 100 * intersection >= 80 * union, that is when at least T = 4/9 of the sum of
 the set sizes is shared.
 
-1. A bounded count-min sketch tells which shingles may occur in two documents.
-   A set that links shares at least 80 % of its shingles, so most sets need no
-   more than their size and a 128-bit hash of the set.
-2. Equal sets form a class; from here on a class counts once.
-3. Prefix tokens: of the other classes, each sends its 20 % least frequent
-   shingles.  Linked classes share one of these, so connected components over
-   shared tokens (stars around the least class of each token) hold all links.
-4. Inside a component, DivideSkip: the inverted lists of the query's shingles
+1. Every set is written down as its size and a 128-bit hash.  Equal sets form a
+   class; from here on a class counts once.
+2. Likely classes.  Of a set of n, the 40 % of shingles with the least hashes hold
+   at least 16 % of n that any partner's hold, too (a prefix filter that asks for
+   more than one).  Shingles meet by hash range, packed, and each class is told how
+   many of its own another class has; most classes end here.
+3. Candidate components of the likely classes.  Put a set in the order of its
+   shingles' hashes and take every two neighbours as a key.  Sets with intersection
+   I and union U have at least 2 I - U - 1 >= 0.6 U - 1 keys in common, since each
+   shingle that isn't shared parts one pair of neighbours.  So the 40 % of a set's
+   keys with the least hashes hold at least one that its partner's have, too.
+   Unlike single shingles, such keys hardly ever occur in texts that merely quote
+   the same passage.  Stars around the least class of each key give components that
+   hold all links.
+
+   In both exchanges a chunk of texts sends what it holds more than once a single
+   time, so a group of very many copies doesn't gather anywhere.
+4. The shingles of the classes in such components are taken from the texts, after
+   a bit table of fixed size has left out most others.
+5. Inside a component, DivideSkip: the inverted lists of the query's shingles
    are cut to the sizes that can link; short lists are merged and counted, long
    ones are probed by binary search for those that can still reach T.  Pairs
    already connected are skipped.  Small components share a task by hash; a
    large one is cut into blocks and every pair of blocks is searched, so the
    memory of a task stays bounded.
-5. Links found are joined into components over all blocks.
-
-The sketch only chooses what must be looked at and in which order; results don't
-depend on it.
+6. Links found are joined into components over all blocks.
 
 Edge cases: a null text, or one without words, has size 0 and links with
 nothing, its component is its own id; copies are linked through their class;
@@ -40,12 +49,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.functions.ship import ship
 from twinfold.llm import sketch
 from twinfold.llm.graph import components
 from twinfold.llm.kernels import Words, chunks, mix, stream
 from twinfold.llm.storage import checkpoint
 
 SHINGLE = 5
+#: Keys in one hash range.
+KEYS = 2_000_000
 #: Classes in one task, and in one block of a large component.
 BLOCK = 1500
 #: DivideSkip: weight of the logarithm of the longest list in the number of long lists.
@@ -75,52 +87,189 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(len(words.counts) + 1))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, h1, h2 (hashes of the set), shingles (binary; null where no partner is possible)."""
+def _hashed(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their bounds, and both hashes of each set."""
+    h, at = shingles(words, size)
+    total = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[at])
+    return h, at, total(mix(h)).view(np.int64), total(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for part in chunks(batches):
-            yield shingles(Words(part.column("text"), lower=True), size)[0]
 
-    seen = sketch.repeated(docs.select("text"), keys)
-    schema = docs.select("doc_id").schema.add("n", "long").add("h1", "long").add("h2", "long").add("shingles", "binary")
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, h1, h2 (hashes of the set)."""
+    schema = docs.select("doc_id").schema.add("n", "long").add("h1", "long").add("h2", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            h, at = shingles(Words(part.column("text"), lower=True), size)
-            n = np.diff(at)
-            total = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[at])
-            may = total(seen(h).astype(np.int64))
-            out = [h[a:z].tobytes() if m >= needed(z - a) and z > a else None for a, z, m in zip(at, at[1:], may)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total(mix(h)).view(np.int64)), pa.array(total(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)), pa.array(out, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "shingles"],
-            )
+            _, at, h1, h2 = _hashed(Words(part.column("text"), lower=True), size)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "h1", "h2"])
 
     return checkpoint(docs.select("doc_id", "text").mapInArrow(run, schema))
 
 
-def _tokens(classes: DataFrame) -> DataFrame:
-    """(token, node): the least frequent shingles of each class, as many as any partner must meet."""
+def pair_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that each set sends, and their sets."""
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    same = owner[1:] == owner[:-1]
+    keys = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same]
+    owner = owner[1:][same]
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.searchsorted(owner, np.arange(len(n)))
+    sent = np.arange(len(keys)) - first[owner] < (n - (3 * n + 4) // 5 + 1)[owner]
+    return keys[sent], owner[sent]
+
+
+def _stars(nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In the order of (key, node): which are the first of their key, and for the others node and first node."""
+    order = np.lexsort((nodes, keys))
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    hub = nodes[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    edge = ~new & (nodes[order] != hub)
+    pairs = np.unique(np.stack([nodes[order][edge], hub[edge]], 1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
+    return order[new], pairs[:, 0], pairs[:, 1]
+
+
+def prefix_tokens(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that each set sends, and their sets."""
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    sent = np.arange(len(h)) - at[owner] < (n - needed(n) + (n + 4) // 5)[owner]
+    return h[sent], owner[sent]
+
+
+#: Owner of a packed key that only bears witness.
+WITNESS = 65535
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for x in batch.column("shingles"):
-                yield np.frombuffer(x.as_buffer(), np.uint64)
+def _pack(keys: np.ndarray, place: np.ndarray, nodes: np.ndarray, ranges: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Keys in ascending order by range: low halves, places in the range's list of nodes (or WITNESS), the list."""
+    to = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    out = []
+    for p, a, z in zip(*(x := np.unique(to, return_index=True)), np.append(x[1][1:], len(to))):
+        own = place[a:z]
+        who, back = np.unique(own[own != WITNESS], return_inverse=True)
+        packed = np.full(z - a, WITNESS, "<u2")
+        packed[own != WITNESS] = back
+        out.append((int(p), keys[a:z].astype("<u4").tobytes(), packed.tobytes(), nodes[who].astype("<i8").tobytes()))
+    return out
 
-    count = sketch.counts(classes.select("shingles"), keys)
+
+_PACKED = "p int, keys binary, place binary, nodes binary"
+
+
+def _batch(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["p", "keys", "place", "nodes"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for k, p, n in zip(batch.column("keys"), batch.column("place"), batch.column("nodes")):
+            yield np.frombuffer(k.as_buffer(), "<u4"), np.frombuffer(p.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<i8")
+
+
+def _likely(docs: DataFrame, size: int, ranges: int) -> DataFrame:
+    """(node, r): how many of the shingles that a class sent another class has."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, rows=50_000):
+            h, at, h1, _ = _hashed(Words(part.column("text"), lower=True), size)
+            keys, owner = prefix_tokens(h, at)
+            if not len(keys):
+                continue
+            order = np.lexsort((h1[owner], keys))
+            keys, owner, node = keys[order], owner[order], h1[owner[order]]
+            new, other = np.ones(len(keys), bool), np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            other[1:] = new[1:] | (node[1:] != node[:-1])  # copies in the chunk count once
+            keys, owner, new = keys[other], owner[other], new[other]
+            first = np.flatnonzero(new)
+            often = np.diff(np.append(first, len(keys))) > 1
+            place = np.where(often, WITNESS, owner[first])
+            rows = _pack(keys[first], place, h1, ranges)
+            settled = np.bincount(owner[np.repeat(often, np.diff(np.append(first, len(keys))))], minlength=len(h1))
+            if (who := np.flatnonzero(settled)).size:  # any task may pass them on
+                rows.append((-1 - int(who[0]) % ranges, b"", b"", np.stack([h1[who], settled[who]], 1).astype("<i8").tobytes()))
+            yield _batch(rows)
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, seen = [], [], []
+        for k, p, n in _unpacked(batches):
+            if key[0].as_py() < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(n[::2]), pa.array(n[1::2])], names=["node", "r"])
+            else:
+                keys.append(k)
+                seen.append(p == WITNESS)
+                nodes.append(np.append(n, 0)[np.where(p == WITNESS, len(n), p)])
+        if keys:
+            k, n, w = np.concatenate(keys), np.concatenate(nodes), np.concatenate(seen)
+            order = np.lexsort((n, k))
+            k, n, w = k[order], n[order], w[order]
+            group = np.cumsum(np.append(True, k[1:] != k[:-1])) - 1
+            other = np.append(True, (group[1:] != group[:-1]) | (n[1:] != n[:-1]) | w[1:] | w[:-1])
+            several = (np.bincount(group, other) + 2 * np.bincount(group, w) > 1)[group] & other & ~w
+            who, r = np.unique(n[several], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(r.astype(np.int64))], names=["node", "r"])
+
+    return docs.select("text").mapInArrow(send, _PACKED).groupBy("p").applyInArrow(meet, "node long, r long").groupBy("node").agg(F.sum("r").alias("r"))
+
+
+def _candidates(docs: DataFrame, size: int, ranges: int, likely: DataFrame) -> DataFrame:
+    """(a, b): edges between likely classes whose components hold all links."""
+    among = sketch.members(likely, _node_keys)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, rows=50_000):
+            h, at, h1, _ = _hashed(Words(part.column("text"), lower=True), size)
+            keep = among(h1.view(np.uint64)) & (np.diff(at) > 0)
+            h, h1, at = h[np.repeat(keep, np.diff(at))], h1[keep], np.concatenate([[0], np.cumsum(np.diff(at)[keep])])
+            if not len(h):
+                continue
+            keys, owner = pair_keys(h, at)
+            first, a, b = _stars(h1[owner], keys)
+            rows = _pack(keys[first], owner[first], h1, ranges)
+            if len(a):
+                rows.append((-1 - int(a[0]) % ranges, b"", b"", np.stack([a, b], 1).astype("<i8").tobytes()))
+            yield _batch(rows)
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [], []
+        for k, p, n in _unpacked(batches):
+            if key[0].as_py() < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(n[::2]), pa.array(n[1::2])], names=["a", "b"])
+            else:
+                keys.append(k)
+                nodes.append(n[p])
+        if keys:
+            _, a, b = _stars(np.concatenate(nodes), np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return docs.select("text").mapInArrow(send, _PACKED).groupBy("p").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _node_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column("node").to_numpy().view(np.uint64)
+
+
+def _wide(docs: DataFrame, size: int, near: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of near."""
+
+    among = sketch.members(near.select("node"), _node_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, x in zip(batch.column("h1"), batch.column("shingles")):
-                h = np.frombuffer(x.as_buffer(), np.uint64)
-                often = count(h)
-                order = np.lexsort((h, often))[: len(h) - needed(len(h)) + 1]
-                h = h[order][often[order] > 1]
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node.as_py()))], names=["token", "node"])
+        for part in chunks(batches):
+            h, at, h1, _ = _hashed(Words(part.column("text"), lower=True), size)
+            who = np.unique(h1, return_index=True)[1]
+            who = who[among(h1[who].view(np.uint64)) & (np.diff(at)[who] > 0)]
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(h1[who]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in who.tolist()], pa.binary())], names=["node", "shingles"])
 
-    return classes.select("h1", "shingles").mapInArrow(run, "token long, node long")
+    found = docs.select("text").mapInArrow(run, "node long, shingles binary").join(near, "node")
+    return found.groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("shingles").alias("shingles"))
 
 
 class Forest:
@@ -212,15 +361,16 @@ def _search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs."""
+    ship(docs.sparkSession)
     sets = _sets(docs, size)
-    classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("shingles", True).alias("shingles"))
-    wide = checkpoint(classes.where("shingles is not null").select("h1", "shingles"))
-    tokens = _tokens(wide)
-    hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
-    stars = tokens.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near = components(stars)
+    classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    ranges = int(0.4 * total) // KEYS + 1
+    likely = _likely(docs, size, ranges).join(classes.select(F.col("h1").alias("node"), "n"), "node").where("r >= greatest(1, ceil(0.16 * n))").select("node").distinct()
+    likely = checkpoint(likely)
+    near = checkpoint(components(_candidates(docs, size, ranges, likely)))
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = near.join(sizes, "root").join(wide.withColumnRenamed("h1", "node"), "node")
+    placed = _wide(docs, size, near).join(sizes, "root")
     placed = placed.withColumn("cuts", F.ceil(F.col("members") / block)).withColumn("own", F.pmod(F.xxhash64("node"), "cuts"))
     # A small component whole, in a task with others; of a large one each pair of blocks.
     bins = max(1, int((near.count() + block - 1) // block))
