@@ -168,9 +168,11 @@ def index_lines(files: DataFrame) -> DataFrame:
     e = entries(files)
     time = rfc3339("mod_ns")
     blank_end = F.col("path").rlike(r"\s$")
-    used = shown_width(F.col("path"))
-    pad = F.greatest(F.lit(1), ((F.lit(COLUMN) - (F.lit(TAB) + F.floor(used / TAB) * TAB + F.lit(2 * TAB))) / TAB).cast("int"))
-    line = F.concat("flag", F.lit("\t"), "path", F.when(F.col("shows_time"), F.concat(F.lit("\t//"), F.repeat(F.lit("\t"), pad), time)).when(blank_end, F.lit("\t//")).otherwise(""))
+    e = e.withColumn("used", TAB + F.floor(shown_width(F.col("path")) / TAB) * TAB + 2 * TAB)
+    # Times of a group stand in one column, after its widest path.
+    align = F.greatest(F.lit(COLUMN), F.max("used").over(Window.partitionBy("digest", "size")))
+    e = e.withColumn("pad", ((align - F.col("used")) / TAB).cast("int") + 1)
+    line = F.concat("flag", F.lit("\t"), "path", F.when(F.col("shows_time"), F.concat(F.lit("\t//"), F.repeat(F.lit("\t"), F.col("pad")), time)).when(blank_end, F.lit("\t//")).otherwise(""))
     ends = e.groupBy("gkey", "digest", "size").agg((F.max("n") + 1).alias("n")).select("gkey", "n", F.concat(F.lit("\t\t"), "digest", F.lit("\t"), F.col("size").cast("string")).alias("line"))
     return e.select("gkey", "n", line.alias("line")).unionByName(ends)
 

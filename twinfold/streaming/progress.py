@@ -35,7 +35,7 @@ def iec(n: Column | str) -> Column:
     """Bytes with binary units: whole from ten of a unit on, else one decimal."""
     n = F.col(n) if isinstance(n, str) else n
     n = n.cast("double")
-    step = F.greatest(F.lit(0), F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1.0))) + 1e-12)).cast("int")
+    step = F.greatest(F.lit(0), F.floor(F.log(1024.0, F.greatest(n, F.lit(1.0))) + 1e-12)).cast("int")
     value = F.floor(n / F.pow(F.lit(1024.0), step) * 10 + 0.5) / 10
     unit = F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"))), step + 1)
     return F.when(n < 10, F.format_string("%d B", n.cast("bigint"))).when(value < 10, F.concat(F.format_string("%.1f ", value), unit)).otherwise(F.concat(F.format_string("%.0f ", value), unit))
