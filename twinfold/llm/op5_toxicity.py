@@ -34,12 +34,14 @@ from twinfold.functions.ship import ship
 from twinfold.llm.kernels import LOWER, chunks, stream, utf8
 
 #: Rows of the tables for words and for stems, and their columns.
-BUCKETS, STEMS, DIM = 1 << 18, 1 << 16, 8
+BUCKETS, STEMS, DIM = 1 << 20, 1 << 18, 4
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 #: Bounds of the training sample: texts of each label, and words of each.
-EACH, READ = 4000, 1500
-EPOCHS, RATE, SEED = 8, 0.15, 3
+EACH, READ = 1500, 1000
+EPOCHS, RATE, SEED = 10, 0.1, 3
+#: Texts of the sample that a word or stem must occur in to be learned; others stay at zero.
+FAMILIAR = 4
 CUT = 0.3
 
 _TOKEN = np.zeros(256, bool)
@@ -70,13 +72,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.words = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-        self.stems = rng.normal(0, 0.1, (2, STEMS, DIM)).astype(np.float32)
+        self.words = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+        self.stems = rng.normal(0, 0.02, (2, STEMS, DIM)).astype(np.float32)
         self.filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.full(len(WIDTHS) * FILTERS, -0.1, np.float32)
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.base = np.float32(-1)
-        self.groups = np.zeros((BUCKETS >> 4, 1), np.float32)
+        self.groups = np.zeros((BUCKETS >> 6, 1), np.float32)
         self.cuts = np.zeros(1)
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
@@ -120,6 +122,13 @@ class Classifier:
 
     def train(self, docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
+        known = []
+        for table, i in ((self.words, 0), (self.stems[0], 1), (self.stems[1], 2)):
+            df = np.zeros(len(table), np.int32)
+            for d in {id(d): d for d in docs}.values():  # a text that is repeated counts once
+                df[np.unique(d[i])] += 1
+            known.append(df >= FAMILIAR)
+            table[~known[-1]] = 0
         # Adagrad's sums of squares.
         sums = [np.full(len(self.words), 1e-3, np.float32), np.full((2, STEMS), 1e-3, np.float32)]
         dense = [*self.filters, self.bias, self.out]
@@ -162,36 +171,39 @@ class Classifier:
                 self.base -= np.float32(0.3 * RATE * g / np.sqrt(base_square))
                 if at:
                     de_ = np.array(de, np.float32)
-                    for table, s, r in ((self.words, sums[0], rows[0]), (self.stems[0], sums[1][0], rows[1]), (self.stems[1], sums[1][1], rows[2])):
+                    for table, s, r, on in ((self.words, sums[0], rows[0], known[0]), (self.stems[0], sums[1][0], rows[1], known[1]), (self.stems[1], sums[1][1], rows[2], known[2])):
                         ids, back = np.unique(r[at], return_inverse=True)
                         total = np.zeros((len(ids), DIM), np.float32)
                         np.add.at(total, back, de_)
+                        ids, total = ids[on[ids]], total[on[ids]]
                         s[ids] += (total * total).mean(1)
                         table[ids] -= RATE * total / np.sqrt(s[ids])[:, None]
 
     def learn_groups(self, docs: list[np.ndarray], langs: list[str]) -> None:
         names = sorted(set(langs))
-        counts = np.full((BUCKETS >> 4, len(names)), 0.5)
+        counts = np.full((BUCKETS >> 6, len(names)), 0.5)
         for d, lang in zip(docs, langs):
             np.add.at(counts[:, names.index(lang)], d[0] & (len(counts) - 1), 1)
         self.groups = np.log(counts / counts.sum(0)).astype(np.float32)
         self.cuts = np.zeros(len(names))
 
-    def calibrate(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """The cut of each group of texts: the middle of the widest gap among those with fewest errors."""
+    def calibrate(self, docs: list[np.ndarray], y: np.ndarray, weight: float = 1) -> None:
+        """The cut of each group of texts: the middle of the widest gap among those with fewest errors.
+
+        weight: how many times more a text without the label stands for than one with it."""
         ptr = np.concatenate([[0], np.cumsum([d.shape[1] for d in docs])]).astype(np.int64)
         rows = np.concatenate(docs, 1)
         x, group = self.raw(rows, ptr), self.group(rows, ptr)
-        whole = _cut(x, y)
+        whole = _cut(x, y, weight)
         for g in range(len(self.cuts)):
             own = group == g
-            self.cuts[g] = _cut(x[own], y[own]) if 5 <= y[own].sum() < own.sum() - 5 else whole
+            self.cuts[g] = _cut(x[own], y[own], weight) if 30 <= y[own].sum() < own.sum() - 30 else whole
 
 
-def _cut(x: np.ndarray, y: np.ndarray) -> float:
+def _cut(x: np.ndarray, y: np.ndarray, weight: float) -> float:
     order = np.argsort(x)
     x, y = x[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) * max(1, (1 - y).sum()) + (np.append(np.cumsum((1 - y)[::-1])[::-1], 0)) * max(1, y.sum())
+    errors = np.concatenate([[0], np.cumsum(y)]) + weight * np.append(np.cumsum((1 - y)[::-1])[::-1], 0)
     edges = np.concatenate([[x[0] - 2], x, [x[-1] + 2]]) if len(x) else np.zeros(2)
     best = np.flatnonzero(errors == errors.min())
     return float(max(((edges[i + 1] - edges[i], (edges[i + 1] + edges[i]) / 2) for i in best))[1])
@@ -222,14 +234,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     if min(map(len, each)):
         train = np.concatenate([np.resize(e, max(map(len, each))) for e in each])
     net.train([parts[i] for i in train], y[train])
-    net.calibrate([parts[i] for i in np.flatnonzero(aside)], y[aside]) if aside.any() else None
+    # The sample has as many of either label as it can; the cut should suit the labels as they are.
+    totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    shown = {v: max(1, int((y == v).sum())) for v in (0, 1)}
+    if aside.any():
+        net.calibrate([parts[i] for i in np.flatnonzero(aside)], y[aside], (totals.get(0, 0) / shown[0]) / max(1e-9, totals.get(1, 0) / shown[1]) or 1)
     return net
 
 
 def scored(docs: DataFrame, net: Classifier) -> DataFrame:
     """doc_id, score, predicted."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # tables of fixed size, 12 MB
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # tables of fixed size, 24 MB
     schema = docs.select("doc_id").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
