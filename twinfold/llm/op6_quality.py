@@ -28,7 +28,7 @@ LEAST = 100
 #: Times the distance between the quartiles that a rate may lie beyond them.
 REACH = 4.0
 #: Rates, and the least distance between quartiles that counts for each.
-RATES = {"chars_a_word": 0.75, "symbols_a_word": 0.1, "dup_lines_a_line": 0.15, "repeats_a_word": 0.05}
+RATES = {"chars_a_word": 0.75, "symbols_a_word": 0.08, "dup_lines_a_line": 0.15, "repeats_a_word": 0.1}
 #: Rates of which too little also counts.
 BOTH_WAYS = ("chars_a_word",)
 
