@@ -22,6 +22,7 @@ the id and text columns are read, so others may clash.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from twinfold.llm.kernels import Words, chunks, stream
 WINDOW = 35
 GRAM = 8
 PLACE_BITS = 30
+#: Distinct texts that a task remembers before it starts afresh.
+TEXTS = 500_000
 #: A window's first word takes the low bits of a long, 32 bits of its second hash the others.
 AT_BITS = 32
 AT_MASK = np.uint64((1 << AT_BITS) - 1)
@@ -81,7 +84,16 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     seen = sketch.repeated(docs.select("text").where("text is not null"), _keys(size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter[tuple[int, int]] = Counter()
         for part in chunks(batches):
+            # Two copies of a text say of its windows all that more would.
+            if len(met) > TEXTS:
+                met.clear()
+            fresh = []
+            for key in zip(part.column("t1").to_pylist(), part.column("t2").to_pylist()):
+                met[key] += 1
+                fresh.append(met[key] <= 2)
+            part = part.filter(pa.array(fresh))
             words = Words(part.column("text"))
             first = words.hashes(SEEDS[0])
             at, grams, place = anchors(words, first, size)
@@ -106,9 +118,10 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             )
 
     # x holds the rest of the hash above AT_BITS, and the first word below: a quarter fewer bytes to shuffle.
-    found = texts.mapInArrow(run, "h long, x long, t1 long, t2 long").withColumn("k", F.shiftright("x", AT_BITS))
-    twice = found.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "k")
-    return found.join(twice, ["h", "k"]).select("t1", "t2", F.col("x").bitwiseAND(F.lit(int(AT_MASK))).alias("at"))
+    found = texts.mapInArrow(run, "h long, x long, t1 long, t2 long")
+    rest = F.shiftright("x", AT_BITS)
+    twice = found.groupBy(F.col("h").alias("_h"), rest.alias("_k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h", "_k")
+    return found.join(twice, (F.col("h") == F.col("_h")) & (rest == F.col("_k"))).select("t1", "t2", F.col("x").bitwiseAND(F.lit(int(AT_MASK))).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
