@@ -212,7 +212,7 @@ def hash_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def progress_ewma(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet").where("event_id < 5000")
+    events = spark.read.parquet(f"{d}/events.parquet")
     n = F.row_number().over(Window.partitionBy(F.col("user_id") % 50).orderBy("event_id"))
     samples = events.select((F.col("user_id") % 50).alias("scan"), (n * F.lit(0.75)).alias("t"), (F.col("event_id") % 7 + 1).alias("files"), (F.col("event_id") % 1000 * 97).alias("bytes"))
     return progress.ewma(samples, ["scan"]).select("scan", "files", "bytes", F.round("fps", 6).alias("fps"), F.round("bps", 4).alias("bps"))
