@@ -1,12 +1,16 @@
 """Quality rules whose limits come from the data, with DataFrame operations only.
 
 Measures of each text are taken in its own row by array functions.  For every
-language and source a mergeable KLL quantile sketch of each rate is built;
-sketches of sources merge into one of the language, and those into one of all,
-for groups too small to speak for themselves.  A text is rejected if it fails a
-base rule, or if a rate lies beyond the quartiles of its group by REACH times the
-distance between them.  The limits are joined to the measures by language and
-source.
+language and source a mergeable KLL quantile sketch of each rate is built, of the
+texts that pass the base rules; sketches of sources merge into one of the
+language, and those into one of all.  Quantiles of a source are shrunk towards
+those of its language, and these towards those of all: n texts weigh as
+n / (n + PRIOR).  A text is rejected if it fails a base rule, or if a rate lies
+beyond the outer tenth of its group by more than REACH times the distance from
+there to the median.  No limit is fixed; a count may only exceed what its limit
+allows by one event, since a text can't hold less than one (in a group in which
+nine tenths have no repeated line, a single one rejects nothing, two do).  The
+limits are joined to the measures by language and source.
 
 Edge cases: a null text has no words and fails the base rule; null languages and
 sources form groups of their own; repeated rows each count; words and lines of
@@ -23,12 +27,12 @@ from twinfold.llm.storage import checkpoint
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Groups of fewer texts take the limits of their language, then those of all texts.
-LEAST = 100
-#: Times the distance between the quartiles that a rate may lie beyond them.
-REACH = 4.0
-#: Rates, and the least distance between quartiles that counts for each.
-RATES = {"chars_a_word": 0.75, "symbols_a_word": 0.08, "dup_lines_a_line": 0.15, "repeats_a_word": 0.1}
+#: Texts that the wider group's quantiles weigh.
+PRIOR = 100
+#: Times the distance from the median to the outer tenth that a rate may lie beyond the latter.
+REACH = 3.0
+#: Rates: count, what it is divided by, and the count of one event (two places of a window, with no word in common).
+RATES = {"chars_a_word": ("word_chars", "n_words", 0), "symbols_a_word": ("n_symbols", "n_words", 1), "dup_lines_a_line": ("n_dup_lines", "n_lines", 1), "repeats_a_word": ("n_repeat_words", "n_words", 6)}
 #: Rates of which too little also counts.
 BOTH_WAYS = ("chars_a_word",)
 
@@ -62,40 +66,42 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _rates(m: DataFrame) -> DataFrame:
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    return m.withColumns({"chars_a_word": F.col("word_chars") / words, "symbols_a_word": F.col("n_symbols") / words, "dup_lines_a_line": F.col("n_dup_lines") / lines, "repeats_a_word": F.col("n_repeat_words") / words})
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return m.withColumns({r: F.col(n) / F.greatest(of, F.lit(1)) for r, (n, of, _) in RATES.items()} | {"base_failed": failed})
 
 
 def limits(rated: DataFrame) -> DataFrame:
     """One row for each language and source: n, and for each rate its low and high limit."""
-    by_source = rated.where("n_words > 0").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATES])
+    by_source = rated.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATES])
     by_source = checkpoint(by_source)  # as many rows as there are languages and sources, a few KB each
     wider = lambda df, keys, tag: df.groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"), *[F.kll_merge_agg_double(r).alias(f"{r}_{tag}") for r in RATES])
     lang = wider(by_source, ["lang"], "lang").withColumnRenamed("lang", "_lang")
     every = wider(by_source, [], "all")
     joined = by_source.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").join(F.broadcast(every))  # every: one row
     out = joined
-    for r, least in RATES.items():
-        sketch = F.when(F.col("n") >= LEAST, F.col(r)).when(F.col("n_lang") >= LEAST, F.col(f"{r}_lang")).otherwise(F.col(f"{r}_all"))
-        q = lambda x, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(x))
-        apart = F.greatest(q(0.75) - q(0.25), F.lit(least)) * REACH
-        out = out.withColumn(f"{r}_high", q(0.75) + apart).withColumn(f"{r}_low", q(0.25) - apart)
+    shrunk = lambda n, own, wide: (F.col(n) * own + PRIOR * wide) / (F.col(n) + PRIOR)
+    for r in RATES:
+        q = lambda x, r=r: shrunk("n", _quantile(r, x), shrunk("n_lang", _quantile(f"{r}_lang", x), _quantile(f"{r}_all", x)))
+        out = out.withColumn(f"{r}_high", q(0.9) + (q(0.9) - q(0.5)) * REACH).withColumn(f"{r}_low", q(0.1) - (q(0.5) - q(0.1)) * REACH)
     return out.select("lang", "source", "n", *[f"{r}_{x}" for r in RATES for x in ("low", "high")])
 
 
+def _quantile(sketch: str, x: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(x))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """The measures and rates of each text with base_failed and kept."""
     rated = _rates(checkpoint(measures(docs)))
     bounds = limits(rated)
     bounds = bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *bounds.columns[3:])
     both = rated.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within: Column = F.lit(True)
-    for r in RATES:
-        within &= F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True))
+    for r, (n, of, event) in RATES.items():
+        within &= F.coalesce(F.col(n) <= F.col(f"{r}_high") * F.col(of) + event, F.lit(True))
         if r in BOTH_WAYS:
             within &= F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(True))
-    return both.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+    return both.withColumn("kept", ~F.col("base_failed") & within)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
