@@ -1,6 +1,8 @@
 """Cases that a review found missing."""
 
-from twinfold.llm import op6_quality
+import pytest
+
+from twinfold.llm import op4_pii, op6_quality
 
 
 def test_quality_limits_follow_spread(spark):
@@ -20,3 +22,14 @@ def test_quality_limits_follow_spread(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     gone = {r.doc_id for r in op6_quality.judged(d).where("not kept").collect()}
     assert gone == {9000, 9010, 9020, 9030}
+
+
+def found(text):
+    return [(op4_pii.KINDS[k], text[a:z]) for k, a, z in op4_pii.spans(text)[1]]
+
+
+@pytest.mark.parametrize("at", [" at ", " AT ", "  at\n", " arroba ", " @ ", " (at) ", "[@]"])
+def test_pii_only_at_disguised(at):
+    text = f"write to jane{at}example.com"
+    assert found(text) == [("email", f"jane{at}example.com")]
+    assert op4_pii.masked(text, op4_pii.spans(text)[1]) == "write to <EMAIL>"

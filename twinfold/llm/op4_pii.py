@@ -148,7 +148,8 @@ AT = re.compile(rf"\s{{0,2}}{_OPEN}(?:at|@|arobase|arroba){_SHUT}\s{{0,2}}|\s{{1
 HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 DOT = re.compile(_DOT, re.I)
 FOUR = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-HINT = re.compile(rf"{_OPEN}(?:at|@|arobase|arroba|dot|punkt|punto|point|\.){_SHUT}|\s(?:dot|punkt|punto|point|arobase|arroba)\s|\s@|@\s", re.I)
+#: What every disguise that _hosts undoes holds: an AT other than a plain @, or a _DOT other than a plain point.
+HINT = re.compile(rf"{_OPEN}(?:at|@|arobase|arroba|dot|punkt|punto|point|\.){_SHUT}|\s(?:at|dot|punkt|punto|point|arobase|arroba)\s|\s@|@\s", re.I)
 #: Last labels that a host spelled with words must have.
 LAST = frozenset("com net org edu gov mil int info biz io ai app dev co me tv uk us ca au de fr es it nl be ch at eu pt pl se no dk fi ie in jp cn br mx ar example test".split())
 
@@ -198,7 +199,9 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     own = base(text)
     odd = not text.isascii() and ODD.search(text) is not None
-    if not odd and HINT.search(text) is None and RUN.search(text) is None:
+    spelled = RUN.search(text) is not None
+    # Without those two kinds the hosts' edits are the only ones, so a text with none needs no map.
+    if not odd and not spelled and (HINT.search(text) is None or not _hosts(text)):
         return own, own
     m = Mapped(text)
     if odd:
