@@ -33,3 +33,16 @@ def test_pii_only_at_disguised(at):
     text = f"write to jane{at}example.com"
     assert found(text) == [("email", f"jane{at}example.com")]
     assert op4_pii.masked(text, op4_pii.spans(text)[1]) == "write to <EMAIL>"
+
+
+@pytest.mark.parametrize(
+    "address",
+    ["bob [at] firma [dot] ru", "bob (at) firma.xyz", "bob at firma (dot) online", "bob [at] a-b [dot] co [dot] nz", "john [dot] smith [at] example [dot] com", "john dot q dot smith at example dot com", "john [dot] smith@example.com"],
+)
+def test_pii_any_label_and_local_dots(address):
+    text = f"mail {address} , please"
+    assert op4_pii.masked(text, op4_pii.spans(text)[1]) == "mail <EMAIL> , please"
+
+
+def test_pii_bare_words_stay():
+    assert found("we look at things dot that") == [] and found("write to bob at example dot com point taken") == [("email", "bob at example dot com")]

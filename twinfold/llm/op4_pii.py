@@ -150,10 +150,32 @@ DOT = re.compile(_DOT, re.I)
 FOUR = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 #: What every disguise that _hosts undoes holds: an AT other than a plain @, or a _DOT other than a plain point.
 HINT = re.compile(rf"{_OPEN}(?:at|@|arobase|arroba|dot|punkt|punto|point|\.){_SHUT}|\s(?:at|dot|punkt|punto|point|arobase|arroba)\s|\s@|@\s", re.I)
-#: Last labels that a host spelled with words must have.
+#: A disguised dot right before a place, in the local part of an address.
+BEFORE = re.compile(rf"(?:\s{{0,2}}{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}\s{{0,2}}|\s{{1,2}}(?:dot|punkt|punto|point)\s{{1,2}})\Z", re.I)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+#: Last labels that a host must have if neither its last dot nor the at has brackets.
 LAST = frozenset("com net org edu gov mil int info biz io ai app dev co me tv uk us ca au de fr es it nl be ch at eu pt pl se no dk fi ie in jp cn br mx ar example test".split())
 
 
+def _bracketed(disguise: str) -> bool:
+    return disguise.strip()[:1] in set("[({<")
+
+
+def _local(text: str, at: int, least: int, plain: bool) -> list[tuple[int, int, str, None]]:
+    """Edits that put . for the disguised dots of the local part that ends at a place; before a plain @ only for bracketed ones."""
+    out = []
+    while True:
+        start = at
+        while start > least and text[start - 1] in LOCAL:
+            start -= 1
+        low = max(least, start - 16)
+        d = BEFORE.search(text[low:start])
+        if start == at or d is None or low + d.start() <= least or text[low + d.start() - 1] not in LOCAL or plain and not _bracketed(d[0]):
+            return out[::-1]
+        out.append((low + d.start(), start, ".", None))
+        at = low + d.start()
+
+
 def _hosts(text: str) -> list[tuple[int, int, str, None]]:
     """Edits that put @ and . for their disguises in addresses."""
     out: list[tuple[int, int, str, None]] = []
@@ -170,14 +192,20 @@ def _hosts(text: str) -> list[tuple[int, int, str, None]]:
             if d[0].strip() == "." and d[0] != ".":
                 dots = [x for x in dots if x.start() < d.start()]
                 break
-        if not dots:
+        after = [LABEL.match(text, d.end()) for d in dots]
+        # A bare word that doesn't end a host belongs to the sentence.
+        while len(dots) > 1 and dots[-1][0].strip() != "." and not _bracketed(dots[-1][0]) and (after[-1] is None or after[-1][0].lower() not in LAST):
+            dots.pop()
+            after.pop()
+        if not dots or after[-1] is None:
             continue
-        after = re.compile(r"[A-Za-z0-9-]+").match(text, dots[-1].end())
-        if m[0] == "@" and all(d[0] == "." for d in dots) or after is None or after[0].lower() not in LAST:
+        plain = m[0] == "@" and all(d[0] == "." for d in dots)
+        local = _local(text, m.start(), done, m[0] == "@")
+        if plain and not local or not plain and not _bracketed(m[0]) and not _bracketed(dots[-1][0]) and after[-1][0].lower() not in LAST:
             continue
-        edits = [(m.start(), m.end(), "@", None), *[(d.start(), d.end(), ".", None) for d in dots]]
+        edits = [*local, (m.start(), m.end(), "@", None), *[(d.start(), d.end(), ".", None) for d in dots]]
         out += [e for e in edits if text[e[0] : e[1]] != e[2]]
-        done = after.end()
+        done = after[-1].end()
     for m in FOUR.finditer(text):
         out += [(d.start(), d.end(), ".", None) for d in DOT.finditer(text, *m.span()) if d[0] != "." and d[0].strip() != "."]
     out.sort()
@@ -214,7 +242,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     for kind, a, z in base(m.text):
         start, end = m.starts[a], m.ends[z - 1]
         plain = end - start == z - a and not any(m.edited[a:z])
-        if not plain and not any(k == kind and s < end and start < e for k, s, e in own):
+        if not plain and not any(k == kind and s <= start and end <= e for k, s, e in own):
             more.append((kind, start, end))
     return own, sorted(own + more)
 
