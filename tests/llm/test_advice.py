@@ -46,3 +46,11 @@ def test_pii_any_label_and_local_dots(address):
 
 def test_pii_bare_words_stay():
     assert found("we look at things dot that") == [] and found("write to bob at example dot com point taken") == [("email", "bob at example dot com")]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [("phone", "+49 one seven one five five five 2345"), ("card", "four three eight seven 5130 3523 7269"), ("card", "4387 5130 three five two three 7269"), ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "192 dot one six eight dot 1 [dot] one")],
+)
+def test_pii_mixed_digits(kind, text):
+    assert found(f"take {text} ok") == [(kind, text)]

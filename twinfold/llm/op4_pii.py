@@ -139,9 +139,6 @@ SPELLED = {
     for i, w in enumerate(words.split())
 }
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|más|mas)[\s,.-]{{1,3}})?{_WORD}(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9])(?![^\W_])){{6,}}", re.I)
-ONE = re.compile(rf"(?<![^\W_])(?:plus|más|mas|{_WORD}|[0-9])(?![^\W_])", re.I)
-
 _OPEN, _SHUT = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
 _DOT = rf"(?:\s{{0,2}}{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}\s{{0,2}}|\s{{1,2}}(?:dot|punkt|punto|point)\s{{1,2}}|\s?\.\s?)"
 AT = re.compile(rf"\s{{0,2}}{_OPEN}(?:at|@|arobase|arroba){_SHUT}\s{{0,2}}|\s{{1,2}}(?:at|arobase|arroba|@)\s{{1,2}}|@", re.I)
@@ -150,6 +147,12 @@ DOT = re.compile(_DOT, re.I)
 FOUR = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 #: What every disguise that _hosts undoes holds: an AT other than a plain @, or a _DOT other than a plain point.
 HINT = re.compile(rf"{_OPEN}(?:at|@|arobase|arroba|dot|punkt|punto|point|\.){_SHUT}|\s(?:at|dot|punkt|punto|point|arobase|arroba)\s|\s@|@\s", re.I)
+_POINT = rf"(?:\s{{0,2}}{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}\s{{0,2}}|\s{{1,2}}(?:dot|punkt|punto|point)\s{{1,2}})"
+#: Spelled digits and numerals side by side, or with spelled points between them.
+RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|más|mas)[\s,.-]{{1,3}})?(?:{_WORD}|[0-9]++)(?:(?:{_POINT}|[\s,.-]{{1,3}})(?:{_WORD}|[0-9]++)(?![^\W_]))+", re.I)
+#: The pieces of a run: digits, signs, and spelled points; what is between them is a separator.
+PIECE = re.compile(rf"(?<![^\W_])(?:plus|más|mas|{_WORD}|[0-9]++)(?![^\W_])|{_POINT}", re.I)
+DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])", re.I)
 #: A disguised dot right before a place, in the local part of an address.
 BEFORE = re.compile(rf"(?:\s{{0,2}}{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}\s{{0,2}}|\s{{1,2}}(?:dot|punkt|punto|point)\s{{1,2}})\Z", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
@@ -213,11 +216,26 @@ def _hosts(text: str) -> list[tuple[int, int, str, None]]:
 
 
 def _digits(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """Edits that put digits for spelled ones; separators go, but those between two numerals stay."""
     out = []
     for m in RUN.finditer(text):
-        ones = [x for x in ONE.finditer(text, *m.span())]
-        new = "".join(SPELLED.get(x[0].lower(), x[0] if x[0].isdigit() else "+") for x in ones)
-        out.append((*m.span(), new, [x.span() for x in ones]))
+        if DIGIT_WORD.search(text, *m.span()) is None:
+            continue
+        new: list[str] = []
+        own: list[tuple[int, int]] = []
+        last = None
+        for x in PIECE.finditer(text, *m.span()):
+            word = x[0].lower()
+            if word.isdigit():
+                kept = range(last if last is not None else x.start(), x.end())
+                new += [text[i] for i in kept]
+                own += [(i, i + 1) for i in kept]
+                last = x.end()
+            else:
+                new.append(SPELLED.get(word) or ("+" if word in ("plus", "más", "mas") else "."))
+                own.append(x.span())
+                last = None
+        out.append((*m.span(), "".join(new), own))
     return out
 
 
@@ -227,7 +245,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     own = base(text)
     odd = not text.isascii() and ODD.search(text) is not None
-    spelled = RUN.search(text) is not None
+    spelled = DIGIT_WORD.search(text) is not None and any(DIGIT_WORD.search(text, *x.span()) for x in RUN.finditer(text))
     # Without those two kinds the hosts' edits are the only ones, so a text with none needs no map.
     if not odd and not spelled and (HINT.search(text) is None or not _hosts(text)):
         return own, own
