@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinfold.functions.storage import written
 from twinfold.llm.op1_bpe import encode
 from twinfold.llm.op3_decontaminate import clean
 from twinfold.llm.op4_pii import mask
 from twinfold.llm.op7_language import identified
 from twinfold.llm.op10_jaccard import one_of_each
-from twinfold.llm.storage import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
