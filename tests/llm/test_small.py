@@ -334,3 +334,36 @@ def test_pipeline(spark, sf):
     leaks = {r.doc_id for r in QUERIES["op3_decontaminate"](spark, sf).collect()}
     want = [(d, op4_pii.masked(texts[d], op4_pii.spans(texts[d])[1])) for d in keep - leaks]
     same([(r.doc_id, bytes(r.decoded).decode()) for r in out.collect()], want)
+
+
+def test_merge_skip():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        lists = [sorted(set(rng.integers(0, 30, rng.integers(0, 12)).tolist())) for _ in range(rng.integers(1, 9))]
+        t = int(rng.integers(1, 6))
+        count = Counter(x for own in lists for x in own)
+        assert op10_jaccard.merge_skip(lists, t) == sorted((x, c) for x, c in count.items() if c >= t)
+
+
+def test_links():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        bases = [rng.integers(0, 2**63, rng.integers(3, 60), dtype=np.uint64) for _ in range(4)]
+        sets = []
+        for _ in range(30):
+            s = bases[rng.integers(0, 4)].copy()
+            for _ in range(rng.integers(0, 1 + len(s) // 5)):
+                s[rng.integers(0, len(s))] = rng.integers(0, 2**63)
+            sets.append(np.unique(s))
+        groups = rng.integers(0, 2, len(sets))
+        near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        want, got = op10_jaccard.Forest(len(sets)), op10_jaccard.Forest(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                if groups[i] == groups[j] and near(sets[i], sets[j]):
+                    want.join(i, j)
+        for a, b in op10_jaccard.links(sets, groups):
+            assert near(sets[a], sets[b])
+            got.join(a, b)
+        # Sets of both groups may share an index; links across them are no fault.
+        assert all(got.root(i) == got.root(j) for i in range(len(sets)) for j in [want.root(i)])

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.storage import checkpoint
+from twinfold.functions.storage import checkpoint, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), both long; root is the least node reachable."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpoint(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        old, e = e, checkpoint(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        release(old)
         if now == state:
             break
         state = now

@@ -81,7 +81,7 @@ def _keys(size: int):
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(t1, t2, at): text hashes and first words of the windows that occur twice or more in the texts."""
     texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text").where("text is not null")
-    seen = sketch.repeated(docs.select("text").where("text is not null"), _keys(size))
+    seen = sketch.marked(docs.select("text").where("text is not null"), _keys(size), 26, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter[tuple[int, int]] = Counter()

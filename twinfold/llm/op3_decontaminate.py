@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from twinfold.functions.ship import ship
 from twinfold.llm import sketch
 from twinfold.llm.kernels import LOWER, chunks, stream, utf8
-from twinfold.llm.storage import checkpoint
+from twinfold.functions.storage import checkpoint
 
 WINDOW = 12
 LITERAL = 6
@@ -109,7 +109,7 @@ class Templates:
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(self.value[flat].view(np.int64)))
 
 
-def _windows(df: DataFrame, keys: list[str], sizes: list[int], among: sketch.Members | None) -> DataFrame:
+def _windows(df: DataFrame, keys: list[str], sizes: list[int], among: sketch.Marked | None) -> DataFrame:
     """The keys with size, h, at, slots of windows (of all, where among is None)."""
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", size int, h long, at int, slots array<long>"
 
@@ -149,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
         for batch in batches:
             yield batch.column("h").to_numpy().view(np.uint64)
 
-    among = sketch.members(items.select("h"), keys)
+    among = sketch.members(items.select("h"), keys, items.count())
     found = _windows(docs.select(*_text_keys(), "text").where("text is not null"), ["t1", "t2"], sizes, among)
     mine = items.select("size", "h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     both = found.join(mine, ["size", "h"]).select("t1", "t2", "item_id", "at", (F.col("at") - F.col("item_at")).alias("off"), F.arrays_zip("item_slots", "slots").alias("pairs"))
