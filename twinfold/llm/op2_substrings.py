@@ -1,16 +1,22 @@
 """Substring deduplication: remove the words of windows that occur more than once.
 
 A window is ``size`` consecutive words of one text.  Two equal windows share
-their anchor: the k-word gram of least hash in the window, leftmost on ties.
-Anchors are about a fourteenth of the words.
+their anchor: the k-word gram of least hash in the window, leftmost on ties.  It
+stands at the same place in both, so two windows have two anchors, and an anchor
+comes at least as often as any window around it.  Anchors are about a twelfth of
+the words.
 
 1. Count-min prefilter.  Each task sketches the anchors of its texts; the merged
-   sketch overestimates how often an anchor, and so any window around it, occurs.
+   sketch, sized by the corpus up to a bound, overestimates how often an anchor, and
+   so any window around it, occurs.
 2. Exact pass.  Only windows whose anchor may occur twice are counted exactly,
    by a 96-bit hash of their words; none is lost, since the sketch never
-   underestimates.
-3. The windows counted twice or more are brought back to their texts by text
-   hash, and the words that they cover are removed.
+   underestimates.  A task sends runs of neighbouring windows to the hash range of
+   their anchor; what it holds twice is settled there, and one witness is sent.  A
+   sketch that the corpus overfills lets more windows through: all of them are 2.4
+   times the text, so the cost stays in proportion to the input.
+3. The stretches of windows counted twice or more are brought back to their texts by
+   text hash, and the words that they cover are removed.
 
 Windows are judged on the input, not on what is left.
 
@@ -38,12 +44,15 @@ GRAM = 8
 PLACE_BITS = 30
 #: Distinct texts that a task remembers before it starts afresh.
 TEXTS = 500_000
-#: A window's first word takes the low bits of a long, 32 bits of its second hash the others.
-AT_BITS = 32
-AT_MASK = np.uint64((1 << AT_BITS) - 1)
+#: Windows that a task gathers before it sends them, and windows of a hash range if all were sent.
+GATHERED, RANGE = 700_000, 2_000_000
+#: Bytes of text for each anchor, and for each word; they size tables only.
+ANCHOR_BYTES, WORD_BYTES = 64, 6
 #: Seeds of the word hashes, and of the hashes over words.
 SEEDS = (11, 12)
 OVER = (21, 22)
+#: Text of a run that only bears witness.
+WITNESS = (1 << 32) - 1
 
 
 def anchors(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,69 +87,169 @@ def _keys(size: int):
     return keys
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(t1, t2, at): text hashes and first words of the windows that occur twice or more in the texts."""
-    texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text").where("text is not null")
-    seen = sketch.marked(docs.select("text").where("text is not null"), _keys(size), 26, 2)
+_PACKED = "p int, hashes binary, rests binary, runs binary, texts binary"
+
+
+def _packed(rows: list[tuple[int, bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["p", "hashes", "rests", "runs", "texts"])
+
+
+def _stretches(text: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of neighbouring windows of one text, alike in all of same, begin, and their lengths."""
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(text)))
+
+
+class _Gathered:
+    """Windows of a task that wait to be sent."""
+
+    def __init__(self, ranges: int):
+        self.ranges = ranges
+        self.texts: list[tuple[int, int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, texts: list[tuple[int, int]], hashes: np.ndarray, rests: np.ndarray, grams: np.ndarray, owner: np.ndarray, at: np.ndarray) -> None:
+        self.parts.append((hashes, rests, grams, owner + len(self.texts), at))
+        self.texts += texts
+        self.n += len(hashes)
+
+    def sent(self) -> pa.RecordBatch:
+        """Runs by range; what comes twice here is settled, its places go along under a negative range."""
+        hashes, rests, grams, text, at = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((rests, hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (rests[order[1:]] != rests[order[:-1]])
+        first = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))
+        settled, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        settled[order] = several
+        leads[order] = new
+        keys = np.array(self.texts, np.int64).reshape(-1, 2)
+        rows = []
+        own = np.flatnonzero(settled)
+        if len(own):
+            a, n = _stretches(text[own], at[own])
+            used, local = np.unique(text[own[a]], return_inverse=True)
+            runs = np.stack([local, at[own[a]], n]).astype("<u4")
+            rows.append((-1 - int(hashes[0] % np.uint64(self.ranges)), b"", b"", runs.tobytes(), keys[used].astype("<i8").tobytes()))
+        own = np.flatnonzero(leads)
+        a, n = _stretches(text[own], at[own], grams[own], settled[own])
+        p = ((grams[own[a]] >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(p, kind="stable")
+        for pick in np.split(by, np.flatnonzero(np.diff(p[by])) + 1):
+            ends = np.cumsum(n[pick])
+            windows = own[np.repeat(a[pick] - ends + n[pick], n[pick]) + np.arange(ends[-1])]
+            lead = own[a[pick]]
+            used, local = np.unique(text[lead[~settled[lead]]], return_inverse=True)
+            name = np.full(len(pick), WITNESS, np.int64)
+            name[~settled[lead]] = local
+            runs = np.stack([name, at[lead], n[pick]]).astype("<u4")
+            rows.append((int(p[pick[0]]), hashes[windows].astype("<u8").tobytes(), rests[windows].astype("<u4").tobytes(), runs.tobytes(), keys[used].astype("<i8").tobytes()))
+        self.texts, self.parts, self.n = [], [], 0
+        return _packed(rows)
+
+
+def _met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, first, last): stretches of first words of the windows that come twice or more in a range."""
+    hashes, rests, runs, texts, n_texts = [], [], [], [np.zeros((0, 2), np.int64)], 0
+    for batch in batches:
+        for h, r, u, t in zip(*(batch.column(c) for c in ("hashes", "rests", "runs", "texts"))):
+            hashes.append(np.frombuffer(h.as_buffer(), "<u8"))
+            rests.append(np.frombuffer(r.as_buffer(), "<u4"))
+            run = np.frombuffer(u.as_buffer(), "<u4").astype(np.int64).reshape(3, -1)
+            run[0] = np.where(run[0] == WITNESS, -1, run[0] + n_texts)
+            runs.append(run)
+            texts.append(np.frombuffer(t.as_buffer(), "<i8").reshape(-1, 2))
+            n_texts += len(texts[-1])
+    run, names = np.concatenate(runs, 1), np.concatenate(texts)
+    if key[0].as_py() < 0:
+        text, first, last = run[0], run[1], run[1] + run[2]
+    else:
+        h, r = np.concatenate(hashes), np.concatenate(rests)
+        order = np.lexsort((r, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (r[order[1:]] != r[order[:-1]])
+        group = np.cumsum(new) - 1
+        owner = np.repeat(np.arange(run.shape[1]), run[2])
+        text = run[0][owner]
+        at = run[1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(run[2]) - run[2], run[2])
+        votes = np.bincount(group, np.where(text[order] < 0, 2, 1)) > 1
+        repeated = np.zeros(len(h), bool)
+        repeated[order] = votes[group]
+        own = np.flatnonzero(repeated & (text >= 0))
+        a, n = _stretches(text[own], at[own])
+        text, first = text[own[a]], at[own[a]]
+        last = first + n
+    yield pa.RecordBatch.from_arrays([pa.array(names[text, 0]), pa.array(names[text, 1]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["t1", "t2", "first", "last"])
+
+
+def _text_keys() -> list:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
+def repeated_windows(docs: DataFrame, size: int = WINDOW, most_bits: int = sketch.MOST_BITS, gathered: int = GATHERED) -> DataFrame:
+    """(t1, t2, first, last): text hashes, and stretches of first words of the windows that occur twice or more in the texts.
+
+    most_bits: bound of the sketch's width; gathered: windows that a task sends at once."""
+    texts = docs.select(*_text_keys(), "text").where("text is not null")
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    seen = sketch.marked(texts.select("text"), _keys(size), sketch.width(total // ANCHOR_BYTES + 1, most_bits), 2)
+    ranges = total // WORD_BYTES // RANGE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter[tuple[int, int]] = Counter()
+        held = _Gathered(ranges)
         for part in chunks(batches):
             # Two copies of a text say of its windows all that more would.
             if len(met) > TEXTS:
                 met.clear()
-            fresh = []
+            fresh, names = [], []
             for key in zip(part.column("t1").to_pylist(), part.column("t2").to_pylist()):
                 met[key] += 1
                 fresh.append(met[key] <= 2)
-            part = part.filter(pa.array(fresh))
-            words = Words(part.column("text"))
+                if fresh[-1]:
+                    names.append(key)
+            words = Words(part.column("text").filter(pa.array(fresh)))
             first = words.hashes(SEEDS[0])
             at, grams, place = anchors(words, first, size)
             if not len(at):
                 continue
-            ask, back = np.unique(place, return_inverse=True)
-            keep = seen(grams[np.unique(place, return_index=True)[1]])[back]
-            at = at[keep]
-            if not len(at):
-                continue
-            owner = np.searchsorted(words.ptr, at, "right") - 1
-            own = pa.array(owner)
-            second = stream(OVER[1]).spans(words.hashes(SEEDS[1]), at, at + size)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(stream(OVER[0]).spans(first, at, at + size).view(np.int64)),
-                    pa.array((second & ~AT_MASK | (at - words.ptr[owner]).astype(np.uint64)).view(np.int64)),
-                    part.column("t1").take(own),
-                    part.column("t2").take(own),
-                ],
-                names=["h", "x", "t1", "t2"],
-            )
+            _, ask, back = np.unique(place, return_index=True, return_inverse=True)
+            keep = seen(grams[ask])[back]
+            at, grams = at[keep], grams[keep]
+            if len(at):
+                owner = np.searchsorted(words.ptr, at, "right") - 1
+                second = stream(OVER[1]).spans(words.hashes(SEEDS[1]), at, at + size)
+                held.add(names, stream(OVER[0]).spans(first, at, at + size), (second >> np.uint64(32)).astype(np.uint32), grams, owner, at - words.ptr[owner])
+            if held.n >= gathered:
+                yield held.sent()
+        if held.n:
+            yield held.sent()
 
-    # x holds the rest of the hash above AT_BITS, and the first word below: a quarter fewer bytes to shuffle.
-    found = texts.mapInArrow(run, "h long, x long, t1 long, t2 long")
-    rest = F.shiftright("x", AT_BITS)
-    twice = found.groupBy(F.col("h").alias("_h"), rest.alias("_k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h", "_k")
-    return found.join(twice, (F.col("h") == F.col("_h")) & (rest == F.col("_k"))).select("t1", "t2", F.col("x").bitwiseAND(F.lit(int(AT_MASK))).alias("at"))
+    return texts.mapInArrow(run, _PACKED).groupBy("p").applyInArrow(_met, "t1 long, t2 long, first int, last int")
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words joined by one space)."""
-    spans = repeated_windows(docs, size).groupBy("t1", "t2").agg(F.collect_set("at").alias("at"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
-    joined = keyed.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "at")
+def remove_repeats(docs: DataFrame, size: int = WINDOW, **options: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the kept words joined by one space); options as repeated_windows has them."""
+    spans = repeated_windows(docs, size, **options).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = spans.select("t1", "t2", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+    joined = docs.select("doc_id", "text", *_text_keys()).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "first", "last")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             words = Words(part.column("text"))
-            lists = part.column("at")
-            flat = lists.flatten().to_numpy()
-            lens = np.asarray(lists.value_lengths().fill_null(0))
+            first, last = part.column("first"), part.column("last")
+            begin = np.repeat(words.ptr[:-1], np.asarray(first.value_lengths().fill_null(0)))
             edge = np.zeros(len(words) + 1, np.int64)
-            first = np.repeat(words.ptr[:-1], lens) + flat
-            np.add.at(edge, first, 1)
-            np.add.at(edge, first + size, -1)
+            np.add.at(edge, begin + first.flatten().to_numpy(), 1)
+            np.add.at(edge, begin + last.flatten().to_numpy() + size - 1, -1)
             kept = np.cumsum(edge[:-1]) == 0
             removed = words.counts - np.diff(np.concatenate([[0], np.cumsum(kept)])[words.ptr])
             yield pa.RecordBatch.from_arrays(
