@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import sketch
-from twinfold.llm.kernels import Words, chunks, stream
+from twinfold.llm.kernels import Words, chunks, mix, stream
 
 WINDOW = 35
 GRAM = 8
@@ -140,7 +140,8 @@ class _Gathered:
             rows.append((-1 - int(hashes[0] % np.uint64(self.ranges)), b"", b"", runs.tobytes(), keys[used].astype("<i8").tobytes()))
         own = np.flatnonzero(leads)
         a, n = _stretches(text[own], at[own], grams[own], settled[own])
-        p = ((grams[own[a]] >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+        # Anchors are least hashes, so they are hashed again to spread over the ranges.
+        p = ((mix(grams[own[a]]) >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(p, kind="stable")
         for pick in np.split(by, np.flatnonzero(np.diff(p[by])) + 1):
             ends = np.cumsum(n[pick])
