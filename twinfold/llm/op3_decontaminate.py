@@ -1,22 +1,25 @@
 """Benchmark decontamination over templates.
 
 A text becomes a template: numbers, names and units turn into typed slots, other
-words are lower-cased.  A number is a word that begins with a digit; a name is a
-capitalised word that doesn't begin a sentence; a unit is one of UNITS right
-after a number.  Windows of ``size`` template words (a shorter item: all of it)
-with at least LITERAL words that aren't slots are hashed, and windows of documents
-are joined by hash with windows of benchmark items.  A run of joined windows (one
-document, item and offset between them) counts if its slots are consistent: each
-value of the item stands for one value in the document wherever it recurs.  So
-exact passages are found, and re-parameterised ones too.
+words are lower-cased.  A number is a word that begins with a digit; a unit is one of
+UNITS right after a number; a name is a capitalised word.  Where a sentence begins a
+capitalised word may be a name or not, so there are two templates, one that takes it
+for a literal and one that takes it for a name.  Windows of ``size`` template words (a
+shorter item: all of it) with at least LITERAL (an item: SHORT_LITERAL) words that
+aren't slots are hashed, and windows of documents are joined by hash with windows of benchmark items.  A run of
+joined windows (one document, item, template and offset between them) counts if its
+slots are consistent: each value of the item stands for one value in the document
+wherever it recurs.  So exact passages are found, and re-parameterised ones too.
+Windows and items with fewer literals, such as bare sums, are joined by their exact words, case included.
 
 Before the join, a table of fixed size over the benchmark's window hashes leaves
 out nearly all windows of the documents.
 
-Edge cases: null or empty texts and items match nothing; items with fewer than
-LITERAL literal words can't match; copies and rows that repeat an id are each
+Edge cases: null or empty texts and items match nothing; items of fewer than SHORTEST
+words can't match, as any text may hold them by chance; copies and rows that repeat an id are each
 reported; texts of any length are read whole; an empty benchmark matches nothing;
-only id and text columns are read, so others may clash.
+only id and text columns are read, so others may clash; an item that comes twice is
+reported once.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.ship import ship
+from twinfold.functions.storage import checkpoint
 from twinfold.llm import sketch
 from twinfold.llm.kernels import LOWER, chunks, stream, utf8
-from twinfold.functions.storage import checkpoint
 
 WINDOW = 12
-LITERAL = 6
+#: Literals that a window needs, and that a shorter item needs.
+LITERAL, SHORT_LITERAL = 6, 5
+SHORTEST = 4
+#: How a window is written: sentence beginnings as literals, as names, or all words as they are.
+TEMPLATES = PLAIN, NAMED, EXACT = 0, 1, 2
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g gram grams kg lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules hz kb mb gb".split()
 )
@@ -71,6 +78,7 @@ class Templates:
         self.ptr = np.searchsorted(starts, offsets)
         s = stream(61)
         self.value = s.spans(s.byte[low], starts, ends)
+        self.cased = s.spans(s.byte[raw], starts, ends)
         # A word begins a sentence if a stop stands between it and the word before, or none is before.
         stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
         begins = np.ones(len(starts), bool)
@@ -78,7 +86,8 @@ class Templates:
         begins[self.ptr[:-1][self.ptr[:-1] < len(starts)]] = True
         first = raw[starts]
         self.kind = np.zeros(len(starts), np.int8)
-        self.kind[(first >= 65) & (first <= 90) & ~begins] = 2
+        capital = (first >= 65) & (first <= 90)
+        self.kind[capital & ~begins] = 2
         self.kind[(first >= 48) & (first <= 57)] = 1
         units = _unit_hashes()
         unit = np.zeros(len(starts), bool)
@@ -86,23 +95,30 @@ class Templates:
         unit[self.ptr[:-1][self.ptr[:-1] < len(starts)]] = False
         place = np.minimum(np.searchsorted(units, self.value), len(units) - 1)
         self.kind[unit & (units[place] == self.value)] = 3
-        self.template = np.where(self.kind == 0, self.value, _SLOT[self.kind])
+        self.kinds = [self.kind, np.where(capital & begins & (self.kind == 0), np.int8(2), self.kind), np.zeros_like(self.kind)]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words, text and hash of all windows with enough literals."""
+    def windows(self, size: int, template: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, text and hash of the windows that the template is for."""
         counts = np.diff(self.ptr)
         at = np.arange(len(self.value))
         owner = np.repeat(np.arange(len(counts)), counts)
         keep = at + size <= self.ptr[owner + 1]
         at, owner = at[keep], owner[keep]
-        literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        keep = literal[at + size] - literal[at] >= min(LITERAL, size)
+        kind = self.kinds[template]
+        count = lambda of: (total := np.concatenate([[0], np.cumsum(of)]))[at + size] - total[at]
+        least = LITERAL if size == WINDOW else SHORT_LITERAL
+        if template == EXACT:
+            keep = count(self.kind == 0) < least
+        else:
+            keep = count(kind == 0) >= least
+            if template == NAMED:  # else the plain one says the same
+                keep &= count(kind != self.kind) > 0
         at, owner = at[keep], owner[keep]
-        return at, owner, stream(62).spans(self.template, at, at + size)
+        return at, owner, stream(62 + template).spans(self.cased if template == EXACT else np.where(kind == 0, self.value, _SLOT[kind]), at, at + size)
 
-    def slots(self, at: np.ndarray, size: int) -> pa.Array:
+    def slots(self, at: np.ndarray, size: int, template: int) -> pa.Array:
         """The values of the slots of windows, in order."""
-        slot = np.flatnonzero(self.kind > 0)
+        slot = np.flatnonzero(self.kinds[template] > 0)
         a, z = np.searchsorted(slot, at), np.searchsorted(slot, at + size)
         ends = np.cumsum(z - a)
         flat = slot[np.repeat(a - ends + (z - a), z - a) + np.arange(ends[-1] if len(ends) else 0)]
@@ -111,13 +127,13 @@ class Templates:
 
 def _windows(df: DataFrame, keys: list[str], sizes: list[int], among: sketch.Marked | None) -> DataFrame:
     """The keys with size, h, at, slots of windows (of all, where among is None)."""
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", size int, h long, at int, slots array<long>"
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", size int, template int, h long, at int, slots array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             t = Templates(part.column("text"))
-            for size in sizes:
-                at, owner, h = t.windows(size)
+            for size, template in ((size, template) for size in sizes for template in TEMPLATES):
+                at, owner, h = t.windows(size, template)
                 if among is None and size != WINDOW:  # a short item is one window
                     short = np.diff(t.ptr)[owner] == size
                     at, owner, h = at[short], owner[short], h[short]
@@ -126,9 +142,10 @@ def _windows(df: DataFrame, keys: list[str], sizes: list[int], among: sketch.Mar
                     at, owner, h = at[hit], owner[hit], h[hit]
                 if len(at):
                     own = pa.array(owner)
+                    fixed = [pa.array(np.full(len(at), x, np.int32)) for x in (size, template)]
                     yield pa.RecordBatch.from_arrays(
-                        [*[part.column(k).take(own) for k in keys], pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), pa.array((at - t.ptr[owner]).astype(np.int32)), t.slots(at, size)],
-                        names=[*keys, "size", "h", "at", "slots"],
+                        [*[part.column(k).take(own) for k in keys], *fixed, pa.array(h.view(np.int64)), pa.array((at - t.ptr[owner]).astype(np.int32)), t.slots(at, size, template)],
+                        names=[*keys, "size", "template", "h", "at", "slots"],
                     )
 
     return df.mapInArrow(run, schema)
@@ -141,7 +158,7 @@ def _text_keys() -> list:
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(t1, t2, item_id, n_windows, n_slots): text hashes of documents and the items that they hold."""
     ship(docs.sparkSession)
-    items = checkpoint(_windows(benchmark.select("item_id", "text").where("text is not null"), ["item_id"], list(range(LITERAL, size + 1)), None))
+    items = checkpoint(_windows(benchmark.select("item_id", "text").where("text is not null"), ["item_id"], list(range(SHORTEST, size + 1)), None))
     # At most as many sizes as a window has words.
     sizes = sorted(r.size for r in items.select("size").distinct().collect())
 
@@ -151,19 +168,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
 
     among = sketch.members(items.select("h"), keys, items.count())
     found = _windows(docs.select(*_text_keys(), "text").where("text is not null"), ["t1", "t2"], sizes, among)
-    mine = items.select("size", "h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    both = found.join(mine, ["size", "h"]).select("t1", "t2", "item_id", "at", (F.col("at") - F.col("item_at")).alias("off"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    mine = items.select("size", "template", "h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    both = found.join(mine, ["size", "template", "h"]).select("t1", "t2", "item_id", "template", "at", (F.col("at") - F.col("item_at")).alias("off"), F.arrays_zip("item_slots", "slots").alias("pairs"))
     # Copies add nothing new to the set of pairs, which the item's slots bound.
-    runs = both.groupBy("t1", "t2", "item_id", "off").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    runs = both.groupBy("t1", "t2", "item_id", "off", "template").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.expr("transform(pairs, p -> p.item_slots)")))
-    return runs.where(consistent).groupBy("t1", "t2", "item_id").agg(F.sum("n").alias("n_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    # The templates tell of the same windows, or of some each: the one with most counts.
+    alike = runs.where(consistent).groupBy("t1", "t2", "item_id", "off").agg(F.max("n").alias("n"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    return alike.groupBy("t1", "t2", "item_id").agg(F.sum("n").alias("n_windows"), F.max("n_slots").alias("n_slots"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    hits = matches(docs, benchmark).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
-    t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
-    return docs.join(hits, (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")
+    hits = matches(docs, benchmark).select("t1", "t2").distinct()
+    own = [f"_in_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index("text")]
+    rows = docs.toDF(*own)
+    same = (F.xxhash64(text) == F.col("t1")) & (F.xxhash64(F.lit("second"), text) == F.col("t2"))
+    return rows.join(hits, same, "left_anti").toDF(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
