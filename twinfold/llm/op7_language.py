@@ -6,18 +6,20 @@ languages, and a document's are their mean over all its bytes.  Texts are cut
 into segments, which are read side by side, longest first, so that each step is
 one matrix product over all segments still running.
 
-Training is by backpropagation through time on the driver, on a sample that
-PER_LANGUAGE and SAMPLE_CHARS bound, in the order of a hash of the ids; labels
+Training is by backpropagation through time on the driver, on whole texts of a sample
+that PER_LANGUAGE rows of each language and BYTES bytes bound, in the order of a hash
+of the ids; a step takes a segment from anywhere in each of its texts, and labels
 stand at every position.  The weights, a few kilobytes, go with the task.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; texts
-of any length are read whole; without any labelled row all are ``und``; repeated
-rows and clashing columns don't matter.
+Edge cases: a null text, or one without a letter (str.isalpha), is ``und`` with score
+0; texts of any length are read whole; without any labelled row all are ``und``; an
+empty table gives an empty result; rows that repeat an id are each predicted, and one
+of them is learned from; only the id, the text and for training lang are read, so
+other columns may clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,12 @@ from twinfold.llm.kernels import chunks, utf8
 STATES = 8
 #: Bytes of a segment when reading, and when training.
 SEGMENT, TRAINED = 256, 64
-#: Bounds of the training sample: texts of a language, and characters of each.
-PER_LANGUAGE, SAMPLE_CHARS = 150, 1500
+#: Bounds of the training sample: rows of a language, and bytes of all their texts.
+PER_LANGUAGE, BYTES = 150, 1 << 26
 STEPS, BATCH, RATE, SEED = 160, 96, 0.02, 5
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Mean probability below which no language is told in a pipeline.
+LEAST = 0.3
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,14 +88,16 @@ class Network:
         self.v = rng.normal(0, 0.3, (2 * STATES, len(languages))).astype(np.float32)
         self.c = np.zeros(len(languages), np.float32)
 
-    def train(self, segments: np.ndarray, labels: np.ndarray, seed: int = SEED) -> None:
-        """segments: bytes, one of equal length a row."""
+    def train(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> None:
+        """texts: the bytes of each, TRAINED or more; the languages come equally often."""
         rng = np.random.default_rng(seed)
         params = [self.ahead.x, self.ahead.u, self.behind.x, self.behind.u, self.v, self.c]
+        each = [np.flatnonzero(labels == i) for i in np.unique(labels)]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, STEPS + 1):
-            pick = rng.integers(0, len(segments), BATCH)
-            grads = self.gradients(segments[pick], labels[pick])
+            pick = [own[rng.integers(0, len(own))] for own in each for _ in range(-(-BATCH // len(each)))]
+            at = [rng.integers(0, len(texts[i]) - TRAINED + 1) for i in pick]
+            grads = self.gradients(np.stack([texts[i][a : a + TRAINED] for i, a in zip(pick, at)]), labels[pick])
             for p, g, m, s in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
@@ -158,26 +163,19 @@ def fit(docs: DataFrame) -> Network | None:
     """Trained on rows whose crc32 of the id is not divisible by 5; None without any."""
     learned = docs.where("lang is not null and text is not null and length(text) > 0 and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # PER_LANGUAGE rows of each language, of SAMPLE_CHARS characters.
     few = learned.select("lang", "doc_id").withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {PER_LANGUAGE}").select("doc_id").distinct()
-    sample = learned.join(F.broadcast(few), "doc_id", "left_semi").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.text))
-    segments, labels, languages = [], [], sorted({r.lang for r in rows})
-    for r in rows:
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        raw = np.tile(raw, -(-TRAINED // len(raw))) if len(raw) < TRAINED else raw
-        for a in range(0, len(raw) - TRAINED + 1, TRAINED):
-            segments.append(raw[a : a + TRAINED])
-            labels.append(languages.index(r.lang))
-    if not segments:
+    rows = learned.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang"))).where("_rank = 1")
+    # At most PER_LANGUAGE rows of each language from here on; the bytes are summed over their sizes only.
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("_size"))
+    within = sizes.select("doc_id", F.sum("_size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("_sum")).where(F.col("_sum") <= BYTES).select("doc_id")
+    sample = sorted(rows.join(F.broadcast(within), "doc_id").select("lang", "text").collect(), key=lambda r: (r.lang, r.text))
+    if not sample:
         return None
-    labels_ = np.array(labels)
-    # As many segments of each language.
-    each = [np.flatnonzero(labels_ == i) for i in range(len(languages))]
-    most = max(map(len, each))
-    even = np.concatenate([np.resize(e, most) for e in each])
+    languages = sorted({r.lang for r in sample})
+    texts = [np.frombuffer(r.text.encode(), np.uint8) for r in sample]
     net = Network(languages)
-    net.train(np.array(segments)[even], labels_[even])
+    net.train([np.tile(t, -(-TRAINED // len(t))) if len(t) < TRAINED else t for t in texts], np.array([languages.index(r.lang) for r in sample]))
     return net
 
 
@@ -198,7 +196,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
                 p = net.read(buf, offsets)
                 p /= np.maximum(p.sum(1, keepdims=True), 1e-9)
                 at = p.argmax(1)
-                letters = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
                 best = [net.languages[i] if k else UNKNOWN for i, k in zip(at, letters)]
                 score = np.where(letters, np.clip(p[np.arange(n), at], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
@@ -207,9 +205,13 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told: those with a letter."""
+    """The rows of docs whose language can be told: those with a letter, where one language has LEAST of the positions at least.
+
+    A null lang becomes the prediction."""
     both = predicted(docs.withColumnsRenamed({c: f"_in_{i}" for i, c in enumerate(docs.columns) if c != "text"}), fit(docs))
-    return both.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("text" if c == "text" else f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    told = both.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST))
+    own = {c: F.col("text" if c == "text" else f"_in_{i}") for i, c in enumerate(docs.columns)}
+    return told.select(*[(F.coalesce(x, "lang_pred") if c == "lang" else x).alias(c) for c, x in own.items()])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
