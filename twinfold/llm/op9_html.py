@@ -42,29 +42,50 @@ BLOCK = frozenset(
 #: Elements that a start tag of the key ends when they are open above the nearest one named last.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSE_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "option", "legend"}
-DROPPED = frozenset("head nav footer aside form button select input textarea dialog menu canvas object audio video map label fieldset".split())
+DROPPED = frozenset("head nav footer aside form button select input textarea dialog menu canvas".split())
+#: Elements that count as if a name told against them.
+HINTED = frozenset("object audio video map label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup sidebar side rail related recommended recommendations more-stories share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar footer masthead comment comments disqus replies reply respond discussion pagination pager paginator login skip widget".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup sidebar side rail related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar footer masthead pagination pager paginator login skip widget".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 NOT_THE_ARTICLE = frozenset("comment comments reply replies response related recommended teaser ad advert promo sponsored".split())
 CONTENT = frozenset("article main".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that turn a name that follows or precedes them into a trait of its box.
+TRAITS = frozenset("has with no without enabled disabled open closed".split())
+#: Characters from which a paragraph in an article's header is taken for its lede, not its byline.
+LEDE = 40
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "dropped", "content", "points", "chars", "linked")
+    __slots__ = ("name", "parent", "items", "dropped", "content", "hint", "points", "chars", "linked")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool = False, content: bool = False):
-        self.name, self.parent, self.dropped, self.content = name, parent, dropped, content
+    def __init__(self, name: str, parent: Node | None, dropped: bool = False, content: bool = False, hint: str = ""):
+        self.name, self.parent, self.dropped, self.content, self.hint = name, parent, dropped, content, hint
         self.items: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def _kind(name: str, rest: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether it is content by name."""
-    content, dropped = name in CONTENT, name in DROPPED
+def _hint(value: str) -> str:
+    """What a class or id tells against its box: comments, box or nothing."""
+    out = ""
+    for token in value.split():
+        words = re.split(r"[^a-z0-9]+", token)
+        if TRAITS.intersection(words):
+            continue
+        if COMMENTS.intersection(words):
+            return "comments"
+        if WORDS.intersection(words) or any(w.startswith(("advert", "cookie", "sidebar", "newsletter")) for w in words):
+            out = "box"
+    return out
+
+
+def _kind(name: str, rest: str) -> tuple[bool, bool, str]:
+    """Whether an element is dropped, whether it is content by name, and what its names tell against it."""
+    content, dropped, hint = name in CONTENT, name in DROPPED, "box" if name in HINTED else ""
     if rest and not dropped and "=" in rest or "hidden" in rest:
         for m in NAMES.finditer(rest):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -80,12 +101,14 @@ def _kind(name: str, rest: str, parent: Node) -> tuple[bool, bool]:
             elif name == "article":
                 dropped |= any(w in NOT_THE_ARTICLE for w in re.split(r"[^a-z0-9]+", value))
             elif name not in ("html", "body", "main"):
-                dropped |= any(w in WORDS or w.startswith(("advert", "comment", "cookie", "sidebar", "newsletter")) for w in re.split(r"[^a-z0-9]+", value))
-    return dropped, content
+                hint = "comments" if hint == "comments" else _hint(value) or hint
+    return dropped, content, hint
 
 
-def parse(page: str) -> Node:
+def parse(page: str) -> tuple[Node, bool]:
+    """The tree, and whether a name tells against any box of it."""
     top = here = Node("html", None)
+    hinted = False
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is None:
@@ -107,7 +130,6 @@ def parse(page: str) -> Node:
                 here.items.append(Node("br", here))
             continue
         if name in ("html", "body"):
-            dropped, content = _kind(name, m["rest"], top)
             if name == "body":
                 while here is not top and here.name == "head":
                     here = here.parent
@@ -129,8 +151,9 @@ def parse(page: str) -> Node:
                 node = node.parent
             if at is not None:
                 here = at.parent
-        dropped, content = _kind(name, m["rest"], here)
-        node = Node(name, here, dropped or here.dropped, content and not dropped)
+        dropped, content, hint = _kind(name, m["rest"])
+        hinted |= hint != ""
+        node = Node(name, here, dropped or here.dropped, content and not dropped, hint)
         if name == "header":
             node.dropped = here.dropped or not _within(here)
         here.items.append(node)
@@ -138,7 +161,7 @@ def parse(page: str) -> Node:
             here = node
         elif name not in VOID and name not in BLOCK:
             here = node if name not in ("path", "use") else here
-    return top
+    return top, hinted
 
 
 def _within(node: Node | None) -> bool:
@@ -149,17 +172,45 @@ def _within(node: Node | None) -> bool:
     return False
 
 
+def _settle(top: Node) -> None:
+    """Drop the boxes that their names tell against, but for those that hold half of the page's unlinked text or an article."""
+    found = [([owner, *_around(owner)], len(text) - linked) for owner, text, linked in blocks(top)]
+    articles = {id(x) for up, _ in found for i, node in enumerate(up) if node.content for x in up[i + 1 :] if x.hint}
+    held: dict[int, int] = {}
+    hinted: dict[int, Node] = {}
+    total = 0
+    for up, size in found:
+        for node in up:
+            if node.hint:
+                hinted[id(node)] = node
+        if any(x.hint == "comments" and id(x) not in articles for x in up):
+            continue
+        total += size
+        for node in up:
+            if node.hint:
+                held[id(node)] = held.get(id(node), 0) + size
+    for i, node in hinted.items():
+        node.dropped = i not in articles and (node.hint == "comments" or 2 * held.get(i, 0) < total)
+
+
+def _around(node: Node) -> Iterator[Node]:
+    while (node := node.parent) is not None:
+        yield node
+
+
 def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
     """(container, text, characters in links) of every block of text under node, in page order."""
     parts: list[str] = []
     links: list[str] = []
     owner = [node]
 
-    def flush() -> tuple[Node, str, int] | None:
+    def flush(frame: list) -> tuple[Node, str, int] | None:
         text = " ".join("".join(parts).split())
         linked = len(" ".join("".join(links).split()))
         parts.clear()
         links.clear()
+        if frame[3] and frame[0].name == "p" and (len(text) < LEDE or linked):
+            return None
         return (owner[0], text, linked) if text else None
 
     # An explicit stack, since pages may nest deeper than calls can: (node, next item, in a link, in a header).
@@ -169,7 +220,7 @@ def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
         at, i, link, header = frame
         if i == len(at.items):
             stack.pop()
-            if at.name in BLOCK and (out := flush()):
+            if at.name in BLOCK and (out := flush(frame)):
                 yield out
             if stack:
                 owner[0] = _block(stack)
@@ -177,7 +228,7 @@ def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
         frame[1] += 1
         x = at.items[i]
         if isinstance(x, str):
-            if not header or any(f[0].name in TITLES for f in stack):
+            if not header or any(f[0].name in TITLES or f[0].name == "p" for f in stack):
                 parts.append(x)
                 if link:
                     links.append(x)
@@ -185,11 +236,11 @@ def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
             parts.append(" ")
         elif not x.dropped:
             if x.name in BLOCK:
-                if out := flush():
+                if out := flush(frame):
                     yield out
                 owner[0] = x
             stack.append([x, 0, link or x.name == "a", header or x.name == "header"])
-    if out := flush():
+    if out := flush([node, 0, False, False]):
         yield out
 
 
@@ -201,7 +252,9 @@ def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     if not page:
         return ""
-    top = parse(page)
+    top, hinted = parse(page)
+    if hinted:
+        _settle(top)
     found = list(blocks(top))
     if not found:
         return ""
