@@ -93,6 +93,8 @@ def test_substrings(docs, empty, size):
     want = [(i, n, m, k) for (i, _), (n, m, k) in zip(rows, windows_removed([t for _, t in rows], size))]
     same([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in op2_substrings.remove_repeats(docs, size).collect()], want)
     assert op2_substrings.remove_repeats(empty, size).count() == 0
+    # A sketch that is much too small, and many small shipments, change nothing.
+    same([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in op2_substrings.remove_repeats(docs, size, most_bits=5, gathered=50).collect()], want)
 
 
 def test_decontaminate(spark, docs, empty):
@@ -112,6 +114,22 @@ def test_decontaminate(spark, docs, empty):
     assert op3_decontaminate.matches(d, items.where("false")).count() == 0
 
 
+def test_decontaminate_names_and_sums(spark):
+    items = [
+        (1, "Mary has 5 apples and gives Tom 2 now"), (2, "12 + 7 = 19 and 19 - 4 = 15 so 15 + 6 = 21 and 21 - 2 = 19"), (3, "short exact item here"), (4, "only three words"),
+        (5, "Tom has 3 apples. Mary gives him 5 more. How many apples does Tom have?"),
+    ]
+    texts = [
+        (1, "Anna has 7 apples and gives Bob 3 now"), (2, "he wrote 12 + 7 = 19 and 19 - 4 = 15 so 15 + 6 = 21 and 21 - 2 = 19 down"), (3, "a short exact item here"), (4, "only three words"),
+        (5, "Tom has 3 apples. Susan gives him 5 more. How many apples does Tom have?"), (6, "12 + 7 = 20 and 20 - 4 = 16 so 16 + 6 = 22 and 22 - 2 = 20"), (7, "Anna has 7 apples and takes Bob 3 now"),
+    ]
+    d = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "doc_id _t1", "doc_id t2")
+    hits = op3_decontaminate.matches(d, spark.createDataFrame(items, "item_id long, text string"))
+    same([tuple(r) for r in d.select("doc_id", *[c.alias(n) for c, n in zip(op3_decontaminate._text_keys(), ("t1", "t2"))]).join(hits, ["t1", "t2"]).select("doc_id", "item_id").collect()], [(1, 1), (2, 2), (3, 3), (5, 5)])
+    kept = op3_decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [4, 6, 7]
+
+
 def brute_spans(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -193,8 +211,12 @@ def test_language(spark, docs, empty):
     odd = {r.doc_id: r for r in op7_language.predicted(docs.select("doc_id", "text"), net).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (0, 1, 2, 17)) and odd[13].lang_pred in words
     assert op7_language.predicted(empty, net).count() == 0 and {r.lang_pred for r in op7_language.predicted(docs, None).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "² ½ ① Ⅷ 12"), (2, "ａ")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in op7_language.predicted(signs, net).orderBy("doc_id").collect()] == [True, False]
     kept = op7_language.identified(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(t is not None and any(c.isalpha() for c in t) for _, t in rows_of(docs))
+    sure = {r.doc_id: r.lang_pred for r in op7_language.predicted(docs, op7_language.fit(docs)).where(F.col("score") >= op7_language.LEAST).collect()}
+    assert kept.columns == docs.columns and kept.where("lang is null").count() == 0
+    same([r.doc_id for r in kept.collect()], [i for i, t in rows_of(docs) if t is not None and any(c.isalpha() for c in t) and i in sure])
 
 
 def test_language_gradient():
@@ -256,6 +278,20 @@ def test_html(page, text):
     assert op9_html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "box", ['<div class="content has-sidebar">', '<div class="page no-sidebar">', '<div class="post share-enabled">', '<div class="commentary">', '<div id="share-story">', '<section class="main widget">', "<fieldset>", '<div class="post-comments-open with-sidebar">']
+)
+def test_html_names(box):
+    body = "<h1>Title here</h1><p>One, two, three four five six seven eight nine ten.</p><p>Second paragraph, longer than the first one, in plain words.</p>"
+    page = f'<nav><a href="/">menu</a></nav>{box}{body}</{box[1:].split(" ")[0].strip("<>")}><div class="sidebar"><p>Other things, all of them elsewhere.</p></div><div class="comments"><p>{"nice words, " * 90}</p></div>'
+    assert op9_html.extract(page) == "Title here\n\nOne, two, three four five six seven eight nine ten.\n\nSecond paragraph, longer than the first one, in plain words."
+
+
+def test_html_lede():
+    page = '<article><header><h1>Head</h1><p class="lede">A lede of some length that tells what comes next.</p><p>By me</p></header><p>Text of it, more of it.</p></article>'
+    assert op9_html.extract(page) == "Head\n\nA lede of some length that tells what comes next.\n\nText of it, more of it."
+
+
 def test_html_pages(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>é 漢</p></article>", 1), (1, "u", "<article><p>é 漢</p></article>", 1), (None, None, None, None)], "page_id long, url string, html string, text int")
     same([tuple(r) for r in op9_html.extracted(d).collect()], [(1, "u", "é 漢", 3), (1, "u", "é 漢", 3), (None, None, "", 0)])
@@ -330,7 +366,10 @@ def test_pipeline(spark, sf):
     assert out.columns == ["doc_id", "ids", "decoded"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    keep = {d for d, n, c in brute_components(list(texts.items())) if d == c and any(x.isalpha() for x in texts[d])}
+    texts = {d: t for d, t in texts.items() if t is not None and any(map(str.isalpha, t))}
+    told = {r.doc_id for r in QUERIES["op7_language"](spark, sf).where(F.col("score") >= op7_language.LEAST).collect()}
+    assert told >= set(texts)
+    keep = {d for d, n, c in brute_components(list(texts.items())) if d == c}
     leaks = {r.doc_id for r in QUERIES["op3_decontaminate"](spark, sf).collect()}
     want = [(d, op4_pii.masked(texts[d], op4_pii.spans(texts[d])[1])) for d in keep - leaks]
     same([(r.doc_id, bytes(r.decoded).decode()) for r in out.collect()], want)
