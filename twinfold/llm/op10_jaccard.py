@@ -21,8 +21,8 @@ the set sizes is shared.
    the prefix only of texts that have little else.  What no other class has is left
    out.  The keys that stay are exchanged in two rounds.  First FEW of each class:
    stars around the least class of each key join nearly all that belong together.
-   Then the rest, under the number of the class's component, so a key only makes an
-   edge between different components, and a task sends a tree's edges at most.  The
+   Then all, under the number of the class's component, so a key only makes an edge
+   between different components, and a task sends a tree's edges at most.  The
    components hold all links; edges grow with the classes, not with the pairs or the
    tasks.
 
@@ -355,11 +355,10 @@ def _other_edges(prefixes: DataFrame, roots: DataFrame, ranges: int) -> DataFram
     """(a, b): roots of classes that share a key and aren't yet in one component."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, owner, roots, few in _keys_of(batches, "root"):
+        # All keys: one of the first round of a class may be another's only in this one.
+        for keys, owner, roots, _ in _keys_of(batches, "root"):
             own, place = np.unique(roots, return_inverse=True)
-            keys, place = keys[~few], place[owner[~few]]
-            if not len(keys):
-                continue
+            place = place[owner]
             first, a, b = _stars(own[place], keys)
             rows = _pack(keys[first], np.searchsorted(own, own[place][first]), own, ranges)
             if len(a):
@@ -648,3 +647,20 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Shingles and sets are told apart by MD5 here.
+SQL = r"""WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT rid, md5(array_to_string(words[pos + 1 : pos + 5], ' ')) AS s FROM (SELECT rid, words, unnest(range(greatest(len(words) - 4, 1))) AS pos FROM w WHERE len(words) > 0)),
+sets AS (SELECT rid, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS class FROM sh GROUP BY rid),
+cls AS (SELECT class, min(rid) AS rid, any_value(n) AS n, min(doc_id) AS least FROM sets JOIN w USING (rid) GROUP BY class),
+own AS (SELECT class, n, s FROM cls JOIN sh USING (rid)),
+link AS (
+  SELECT a.class AS a, b.class AS b FROM own a JOIN own b ON a.s = b.s AND a.class < b.class AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT class, class AS other FROM cls UNION SELECT edge.b, reach.other FROM reach JOIN edge ON edge.a = reach.class),
+top AS (SELECT reach.class, min(cls.least) AS least FROM reach JOIN cls ON cls.class = reach.other GROUP BY reach.class)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id)::BIGINT AS component_id FROM w LEFT JOIN sets USING (rid) LEFT JOIN top USING (class)"""
