@@ -406,3 +406,31 @@ def test_links():
             got.join(a, b)
         # Sets of both groups may share an index; links across them are no fault.
         assert all(got.root(i) == got.root(j) for i in range(len(sets)) for j in [want.root(i)])
+
+
+def test_jaccard_links_of_rare_keys(spark):
+    """Pairs just above the bound, among texts that make some of their shingles frequent."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        base = [f"p{i}w{j}" for j in range(84 + int(rng.integers(0, 12)))]
+        other = base[: int(len(base) * 0.9) - 1] + [f"q{i}w{j}" for j in range(rng.integers(0, 8))]
+        rows += [(4 * i, " ".join(base)), (4 * i + 1, " ".join(other))]
+        rows += [(1000 + 40 * i + k, " ".join([*base[: rng.integers(10, 60)], *(f"r{i}k{k}w{j}" for j in range(30))])) for k in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(map(tuple, op10_jaccard.jaccard_components(d).collect()), brute_components(rows))
+
+
+@pytest.mark.parametrize("name", ["op2_substrings", "op10_jaccard"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    from twinfold.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(columns) == sorted(df.columns)
+    same([tuple(r) for r in df.select(*columns).collect()], want.fetchall())

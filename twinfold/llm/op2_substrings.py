@@ -279,3 +279,13 @@ def kept_texts(words: Words, kept: np.ndarray) -> pa.Array:
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows are told apart by MD5 here.
+SQL = r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT rid, unnest(range(len(words) - 34)) AS pos, words FROM w WHERE len(words) >= 35),
+rep AS (SELECT rid, pos FROM (SELECT rid, pos, md5(array_to_string(words[pos + 1 : pos + 35], ' ')) AS h FROM win) QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT rid, pos + j AS k FROM rep, range(35) r(j)),
+word AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS k FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)"""

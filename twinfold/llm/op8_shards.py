@@ -63,7 +63,3 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sized = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return stratified(sized).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-#: The order of rows whose keys and hashes are equal is free, so equal rows may swap slots; ids and texts are unique here.
-ORACLE_SQL = None
