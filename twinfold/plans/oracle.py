@@ -91,17 +91,11 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-EWMA = """WITH RECURSIVE s AS (
-  SELECT user_id % 50 AS scan, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n, event_id % 7 + 1 AS files, (event_id % 1000) * 97 AS bytes FROM events WHERE event_id < 5000),
-st AS (SELECT scan, n, n * 0.75::DOUBLE AS t, files, bytes FROM s),
-r AS (
-  SELECT scan, n, t, files, bytes, files / t AS fps, bytes / t AS bps FROM st WHERE n = 1
-  UNION ALL
-  SELECT st.scan, st.n, st.t, r.files + st.files, r.bytes + st.bytes,
-    (1 - least((st.t - r.t) / 10, 1)) * r.fps + least((st.t - r.t) / 10, 1) * (st.files / (st.t - r.t)),
-    (1 - least((st.t - r.t) / 10, 1)) * r.bps + least((st.t - r.t) / 10, 1) * (st.bytes / (st.t - r.t))
-  FROM r JOIN st ON st.scan = r.scan AND st.n = r.n + 1)
-SELECT scan, files::BIGINT AS files, bytes::BIGINT AS bytes, round(fps, 6) AS fps, round(bps, 4) AS bps FROM r QUALIFY row_number() OVER (PARTITION BY scan ORDER BY n DESC) = 1"""
+# Samples are 0.75 s apart, so every one but the first has the weight 0.075 and the fold is a weighted sum.
+EWMA = """WITH s AS (
+  SELECT user_id % 50 AS scan, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n, event_id % 7 + 1 AS files, (event_id % 1000) * 97 AS bytes FROM events),
+w AS (SELECT *, CASE WHEN n = 1 THEN 1 ELSE 0.75 / 10 END * power(1 - 0.75::DOUBLE / 10, max(n) OVER (PARTITION BY scan) - n) / 0.75 AS weight FROM s)
+SELECT scan, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, round(sum(weight * files ORDER BY n), 6) AS fps, round(sum(weight * bytes ORDER BY n), 4) AS bps FROM w GROUP BY scan"""
 
 FLAG_TEXT = "CASE WHEN flag & 8 <> 0 OR flag & 3 = 0 THEN '' ELSE ['D', 'J', 'K'][flag & 3] || CASE WHEN flag & 4 <> 0 THEN 'X' ELSE '' END END"
 
