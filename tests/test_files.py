@@ -30,66 +30,61 @@ def test_flags(spark):
     assert spark.range(1).select(flags.is_stored(F.lit(4)), flags.flag_text(F.lit(17))).first() == (False, "D")
 
 
-def test_verdicts(spark):
-    f = files(spark, [("A/B/a0", "a"), ("A/B/b0", "b"), ("A/B/C/c0", "c"), ("A/B/C/D/d0", "d"), ("X/Y/a1", "a"), ("X/Y/b1", "b"), ("X/Y/e0", "e"), ("X/Z/c1", "c"), ("X/Z/d1", "d"), ("X/Z/f0", "f")])
-    at = {m: {r.dir: r.is_dup for r in dups.verdicts(f, m).collect()} for m in (0, 1)}
-    assert all(at[0][d] for d in ("A/", "A/B/", "A/B/C/", "A/B/C/D/"))
-    assert not at[1]["X/"] and not at[0]["X/Y/"] and at[1]["X/Z/"] and not at[0]["X/Z/"]
+def test_dups(spark):
+    """A keep decision rules a directory out, and what is gone is no copy."""
+    rows = [("one/p", "x"), ("one/q", "y"), ("one/r", "z"), ("two/p2", "x"), ("two/q2", "y"), ("two/r2", "z", 4), ("three", "w")]
+    found = lambda f: {r.dir: (r.alts, [x.path for x in r.lost or []]) for r in dups.dups(f, max_lost=1).collect()}
+    assert found(files(spark, rows)) == {"one/": (["two/"], ["one/r"]), "two/": (["one/"], [])}
+    assert found(files(spark, [(p, d, 3 if p == "one/q" else f[0] if f else 0) for p, d, *f in rows])) == {"two/": (["one/"], [])}
 
 
-@pytest.mark.parametrize("phase", [1, 2, 3])
-def test_dups(spark, phase):
-    flag = {1: {}, 2: {"A/a0": 3}, 3: {"B/a1": 3, "A/c0": 7}}[phase] | {"B/c1": 4}
-    f = files(spark, [(p, d, flag.get(p, 0)) for p, d in (("A/a0", "1"), ("B/a1", "1"), ("A/b0", "2"), ("B/b1", "2"), ("A/c0", "3"), ("B/c1", "3"))])
-    got = {r.dir: (r.alts, [x.path for x in r.lost or []]) for r in dups.dups(f, max_lost=1).collect()}
-    assert got == {1: {"A/": (["B/"], ["A/c0"]), "B/": (["A/"], [])}, 2: {"B/": (["A/"], [])}, 3: {"A/": (["B/"], [])}}[phase]
-
-
-STATS = [
-    (".", 10, 9, 5, None), ("A/", 1, 3, 2, None), ("A/B/", 0, 1, 1, None), ("C/", 7, 5, 4, None), ("C/.git/", 3, 2, 2, "C/.git/"), ("C/.git/X/", 2, 2, 2, "C/.git/"),
-    ("C/.git/X/.git/", 1, 1, 1, "C/.git/"), ("C/.git/X/.git/Z/", 0, 1, 1, "C/.git/"), ("C/D/", 1, 1, 1, None), ("C/D/E/", 0, 1, 1, None), ("C/F/", 0, 1, 1, None),
-]
-TREE = [("a1", "1"), ("A/a2", "1"), ("A/B/a3", "1"), ("A/b1", "2"), ("C/D/E/b2", "2"), ("C/c1", "3"), ("C/F/c2", "3"), ("C/.git/X/x1", "4"), ("C/.git/X/.git/Z/y1", "5"), ("C/.git/X/.git/Z/y1", "5", 4)]
-
-
-def test_dir_stats(spark):
-    f = files(spark, TREE)
-    assert {tuple(r) for r in tree.dir_stats(f).select("dir", "total_dirs", "total_files", "unique_files", "atom").collect()} == set(STATS)
-    assert {r.dir for r in tree.unique_dirs(f).collect()} == {s[0] for s in STATS}
-    assert tree.find_file(f, "A/b1").count() == 1 and tree.find_dir(f, "C/F/").first().total_files == 1
-    assert tree.dir_stats(files(spark, [("a", "1", 4)])).count() == 0 and tree.to_index(f).count() == len(TREE)
-
-
-H = 3600 * 10**9
-T2_, T1_ = 10**18, 10**18 + H
-
-
-def state(spark, rows):
-    return spark.createDataFrame([(p, f"d{n}", n, t, f) for p, n, t, f in rows], FILES)
-
-
-def listed(spark, rows):
-    return spark.createDataFrame([(p, f"d{n}", n, t) for p, n, t in rows], "path string, digest string, size bigint, mod_ns bigint")
+def random_tree(seed, n=40):
+    rnd = random.Random(seed)
+    names = ["u", "v", ".git"]
+    return [("".join(rnd.choice(names) + "/" for _ in range(rnd.randint(0, 3))) + f"f{i}", str(rnd.randint(0, 12)), rnd.choice([0, 0, 0, 0, 1, 3, 4])) for i in range(n)]
 
 
-def seen(df):
-    return sorted((r.path, r.size, r.mod_ns, r.flag) for r in df.collect())
+@pytest.mark.parametrize("seed", range(2))
+def test_dir_stats(spark, seed):
+    rows = random_tree(seed)
+    f = files(spark, rows)
+    live = [(p, g) for p, g, h in rows if not h & 4]
+    dirs = {p[: i + 1] for p, _ in live for i, c in enumerate(p) if c == "/"} | {"."}
+    under = lambda d, x: d == "." or x.startswith(d)
+    atom = lambda d: next((d[: i + 1] for i, c in enumerate(d) if c == "/" and d[:i].split("/")[-1] == ".git"), None)
+    want = {(d, sum(x != d and x != "." and under(d, x) for x in dirs), sum(under(d, p) for p, _ in live), len({g for p, g in live if under(d, p)}), atom(d)) for d in dirs}
+    assert {tuple(r) for r in tree.dir_stats(f).select("dir", "total_dirs", "total_files", "unique_files", "atom").collect()} == want
+    assert {r.dir for r in tree.unique_dirs(f).collect()} == dirs
+    assert tree.find_file(f, live[0][0]).count() == 1 and tree.find_dir(f, "u/").first().total_files == sum(under("u/", p) for p, _ in live)
+    assert tree.dir_stats(files(spark, [("a", "1", 4)])).count() == 0 and tree.to_index(f).count() == len(rows)
+
+
+def merged(old, listing):
+    """The merged state by looking every row up."""
+    seen, out, known = {(p, n, t) for p, n, t in listing}, [], set()
+    for p, n, t, f in old:
+        f &= 15
+        if not f & 4 and (p, n, t) in seen:
+            known.add((p, n, t))
+            out.append((p, n, t, f | 16))
+        elif f & 3:
+            out.append((p, n, t, f | 4))
+    return sorted(out + [(p, n, t, 0) for p, n, t in seen - known])
 
 
-def test_rescan(spark):
-    first = seen(rescan.rescan(state(spark, []), listed(spark, [("X/a", 1, T1_), ("X/b", 2, T2_), ("Y/c", 1, T2_), ("d", 3, T1_)])))
-    assert first == [("X/a", 1, T1_, 0), ("X/b", 2, T2_, 0), ("Y/c", 1, T2_, 0), ("d", 3, T1_, 0)]
-    old = state(spark, [("X/a", 1, T1_, 2), ("X/b", 2, T2_, 3), ("Y/c", 1, T2_, 0), ("d", 3, T1_, 1)])
-    one = rescan.rescan(old, listed(spark, [("X/b", 3, T2_), ("d", 3, T1_), ("e", 1, T2_)]))
-    want = [("X/a", 1, T1_, 6), ("X/b", 2, T2_, 7), ("X/b", 3, T2_, 0), ("d", 3, T1_, 17), ("e", 1, T2_, 0)]
-    assert seen(one) == want
-    marked = state(spark, [(p, n, t, 1 if p == "e" else f) for p, n, t, f in want])
-    now = listed(spark, [("X/b", 2, T2_), ("d", 3, T2_), ("e", 1, T2_)])
-    two = rescan.rescan(marked, now)
-    want = [("X/a", 1, T1_, 6), ("X/b", 2, T2_, 0), ("X/b", 2, T2_, 7), ("d", 3, T1_, 5), ("d", 3, T2_, 0), ("e", 1, T2_, 17)]
-    assert seen(two) == sorted(want)
-    three = rescan.rescan(state(spark, want), now)
-    assert seen(three) == sorted((p, n, t, f if f & 4 else f | 16) for p, n, t, f in want)
+@pytest.mark.parametrize("seed", range(3))
+def test_rescan(spark, seed):
+    """Several scans in a row of a tree in which files change, vanish and return."""
+    rnd = random.Random(seed)
+    names = [f"dir{i % 3}/file{i}" for i in range(12)]
+    old = []
+    for _ in range(3):
+        listing = [(p, rnd.randint(1, 2), rnd.randint(1, 2)) for p in names if rnd.random() < 0.7]
+        before = spark.createDataFrame([(p, f"d{n}", n, t, f) for p, n, t, f in old], FILES)
+        now = spark.createDataFrame([(p, f"d{n}", n, t) for p, n, t in listing], "path string, digest string, size bigint, mod_ns bigint")
+        got = sorted((r.path, r.size, r.mod_ns, r.flag) for r in rescan.rescan(before, now).collect())
+        assert got == merged(old, listing)
+        old = [(p, n, t, f if f & 7 else rnd.randint(0, 3)) for p, n, t, f in got]
 
 
 def test_mark(spark):
@@ -108,14 +103,13 @@ def naive(rows, max_lost):
         safe = {g for _, g, _ in under if any(q == g and h & 15 in (0, 3) and not (d == "." or p.startswith(d)) for p, q, h in rows)}
         lost = {g for _, g, _ in under} - safe
         keep = any(f & 3 == 3 for _, _, f in under)
-        out[d] = not keep and len(lost) <= max_lost and len(safe) > len(lost) ** 2 and d != "."
+        out[d] = not keep and len(lost) <= max_lost and len(safe) > len(lost) ** 2 and d != "." and not any(x != d and x.endswith(".git/") and d.startswith(x) for x in dirs)
     return out
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_verdicts_of_random_trees(spark, seed):
-    rnd = random.Random(seed)
-    rows = [("".join(rnd.choice("ab") + "/" for _ in range(rnd.randint(0, 3))) + f"f{i}", str(rnd.randint(0, 12)), rnd.choice([0, 0, 0, 0, 1, 3, 4])) for i in range(40)]
+    rows = random_tree(seed)
     got = {r.dir: r.is_dup for r in dups.verdicts(files(spark, rows), 2).collect()}
     assert got == naive(rows, 2)
 
@@ -129,6 +123,7 @@ def test_cover_takes_copies_outside_only(spark):
     assert {(r.path, r.kept_path) for r in dups.file_map(f, found).collect()} == {("P/D/f1", "Q/f1")} | {(f"P/D/f{i}", f"P/g{i}") for i in range(2, 7)}
 
 
+# Published digests of the hash function.
 @pytest.mark.parametrize(
     ("data", "want"),
     [
@@ -142,6 +137,7 @@ def test_blake3(data, want):
     assert blake3(data).hex() == want
 
 
+# The format of an index, which other readers must understand.
 GOLDEN = "".join(
     line + "\n"
     for line in (
