@@ -256,8 +256,7 @@ def _trained(docs: DataFrame, known: DataFrame) -> tuple[Classifier, list]:
         net.base, net.out[:] = np.float32(-1), 0
         net.cuts[:] = -1 + np.log(0.85 / 0.15) - np.log(0.7 / 0.3)
         return net, []
-    all_rows, ptr = tokens(pa.array([r.text for r in sample]))
-    parts = [all_rows[:, a:z] for a, z in zip(ptr, ptr[1:])]
+    parts = [tokens(pa.array([r.text]))[0] for r in sample]  # one by one: the kernels' tables grow with what they get at once
     y = np.array([r.toxic for r in sample], np.float32)
     net.learn_groups(parts, [r.lang or "" for r in sample])
     # A fifth is left for the cuts.  As many of each label: the rarer repeated.
