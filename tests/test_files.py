@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import flags
-from twinfold.functions.blake3 import blake3
+from twinfold.functions.blake3 import Blake3, blake3, blake3_many
+from twinfold.functions.storage import checkpoint
 from twinfold.operators import dups, hashing, mark, rescan, tree
 from twinfold.plans.model import FILES, violations
-from twinfold.sources import codec, walk
+from twinfold.sources import codec, index, walk
 from twinfold.streaming import progress
 
 
@@ -137,6 +138,23 @@ def test_blake3(data, want):
     assert blake3(data).hex() == want
 
 
+def test_blake3_of_pieces_and_of_many(monkeypatch):
+    """Contents in parts, in pieces and side by side have the digests that they have at once."""
+    rnd = random.Random(5)
+    contents = [rnd.randbytes(n) for n in (0, 1, 64, 1023, 1024, 1025, 2048, 2049, 4096, 5000, 8192, 12289, 16384, 20000)]
+    want = [blake3(c) for c in contents]
+    assert blake3_many(contents) == want
+    monkeypatch.setattr("twinfold.functions.blake3.PART", 2048)
+    assert blake3_many(contents) == want
+    for c, w in zip(contents, want):
+        state = Blake3()
+        while c:
+            n = rnd.randint(1, 3000)
+            state.update(c[:n])
+            c = c[n:]
+        assert state.digest() == w
+
+
 # The format of an index, which other readers must understand.
 GOLDEN = "".join(
     line + "\n"
@@ -192,6 +210,54 @@ def test_tree_source(spark, tmp_path):
     assert hashing.compare(spark.createDataFrame(out).where("error is null")).first().identical
 
 
+def test_files_that_change_are_errors(spark, tmp_path):
+    for name in ("same", "grows", "goes", "decided"):
+        (tmp_path / name).write_text(name)
+    listing = checkpoint(walk.walk(spark, str(tmp_path)))
+    old = spark.createDataFrame([("decided", "d", 1, 1, 3)], FILES)
+    (tmp_path / "grows").write_text("longer than before")
+    (tmp_path / "goes").unlink()
+    (tmp_path / "decided").unlink()
+    merged, errors = rescan.rescan_checked(old, listing, walk.rehash(str(tmp_path)))
+    assert {(r.path, r.flag) for r in merged.collect()} == {("same", 0), ("decided", 7)}
+    assert {r.path: r.error for r in errors.collect()} == {"grows": "file changed while it was read", "goes": "No such file or directory", "decided": "No such file or directory"}
+
+
+def test_tree_is_dealt_to_tasks(tmp_path):
+    """A root with one folder gives many tasks, a wide one no more than were asked for, and each file is read once."""
+    for i in range(40):
+        (tmp_path / f"top/d{i % 8}/e").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"top/d{i % 8}/e/f{i}").write_bytes(b"x" * i)
+    for tasks in (1, 5, 8, 100):
+        reader = walk.TreeReader({"path": str(tmp_path), "digest": "true", "tasks": str(tasks)})
+        parts = reader.partitions()
+        assert min(tasks, 8) <= len(parts) <= tasks
+        rows = [r for p in parts for r in reader.read(p)]
+        assert sorted(r[0] for r in rows) == sorted(f"top/d{i % 8}/e/f{i}" for i in range(40))
+        assert all(r[4] == blake3(b"x" * r[1] or r[0].encode()).hex() for r in rows)
+
+
+def test_saved_index(spark, tmp_path):
+    """Create, keep, update: decisions outlive a rescan, errors come back, and what can't be done saves nothing."""
+    root, name = tmp_path / "root", str(tmp_path / "x.idx")
+    (root / "d").mkdir(parents=True)
+    for n in ("a", "d/b", "d/c"):
+        (root / n).write_text(n)
+    os.symlink("a", root / "link")
+    assert [r.path for r in index.create(spark, name, f"{root}/").collect()] == ["link"]
+    index.keep(spark, name, ["d"])
+    (root / "d/b").unlink()
+    (root / "new").write_text("new")
+    assert [(r.path, r.error) for r in index.update(spark, name).collect()] == [("link", "not a regular file")]
+    saved, found = codec.read_index(spark, name)
+    want = {("a", 0), ("d/b", 7), ("d/c", 3), ("new", 0)}
+    assert saved == str(root) and {(r.path, r.flag) for r in found.collect()} == want
+    for call in (lambda: index.keep(spark, name, ["d", "none"]), lambda: index.update(spark, name, str(tmp_path / "none"))):
+        with pytest.raises(FileNotFoundError):
+            call()
+    assert {(r.path, r.flag) for r in codec.read_index(spark, name)[1].collect()} == want
+
+
 def test_progress(spark):
     df = spark.createDataFrame([(1, 1.0, 1, 128), (1, 1.2, 1, 1000), (1, 2.0, 0, 24)], "scan int, t double, files bigint, bytes bigint")
     p = progress.line(progress.ewma(df, ["scan"])).first()

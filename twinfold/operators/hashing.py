@@ -26,11 +26,13 @@ def with_blake3(df: DataFrame, content: str = "content", name: str | None = "pat
     schema = df.schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from twinfold.functions.blake3 import blake3
+        from twinfold.functions.blake3 import blake3_many
 
         for batch in batches:
             names = batch.column(name).to_pylist() if name else [None] * batch.num_rows
-            digests = [None if c.as_py() is None else blake3(c.as_py() or (n or "").encode()).hex() for c, n in zip(batch.column(content), names)]
+            contents = [c if c is None else c or (n or "").encode() for c, n in zip(batch.column(content).to_pylist(), names)]
+            found = iter(blake3_many([c for c in contents if c is not None]))
+            digests = [None if c is None else next(found).hex() for c in contents]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -42,18 +44,11 @@ def hash_files(spark: SparkSession, names: list[str]) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from twinfold.functions.blake3 import blake3
+        from twinfold.sources.walk import digests_of
 
         for batch in batches:
-            digests, errors = [], []
-            for p in batch.column("path").to_pylist():
-                try:
-                    with open(p, "rb") as f:
-                        digests.append(blake3(f.read()).hex())
-                    errors.append(None)
-                except OSError as e:
-                    digests.append(None)
-                    errors.append(e.strerror or str(e))
+            found = list(digests_of((p, "", None, None) for p in batch.column("path").to_pylist()))
+            digests, errors = [d for d, _ in found], [e for _, e in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "digest", "error"])
 
     read = asked.mapInArrow(run, "pos int, name string, path string, digest string, error string")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions import flags
+from twinfold.functions.storage import checkpoint
 from twinfold.plans.model import COLUMNS
 
 KEYS = ["path", "size", "mod_ns"]
@@ -42,9 +43,31 @@ def gone(old: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.withColumn("flag", F.col("flag").bitwiseOR(F.lit(flags.GONE))).where(flags.decision() != flags.NONE).select(*COLUMNS)
 
 
-def rescan(old: DataFrame, listing: DataFrame, digest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The merged state. digest adds a digest column to the files it gets; without one the listing has it."""
-    fresh = stale(old, listing)
-    fresh = digest(fresh) if digest is not None else fresh
+def _merged(old: DataFrame, listing: DataFrame, fresh: DataFrame) -> DataFrame:
     new = fresh.select("path", "digest", "size", "mod_ns", F.lit(flags.NONE).alias("flag"))
     return same(old, listing).unionByName(new).unionByName(gone(old, listing))
+
+
+def rescan(old: DataFrame, listing: DataFrame, digest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The merged state. digest adds a digest column to the files it gets; without one the listing has it.
+
+    Files without a digest are left out; rescan_checked tells why."""
+    return rescan_checked(old, listing, digest)[0]
+
+
+def rescan_checked(old: DataFrame, listing: DataFrame, digest: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged state, errors): errors are (path, error) of files that could not be hashed, and of a listing's own errors.
+
+    An old row of such a file is no longer there: with a decision it is kept as gone, and its file comes back undecided."""
+    broken = listing.limit(0).select("path", F.lit("").alias("error"))
+    if "error" in listing.columns:
+        broken = listing.where("error is not null").select("path", "error")
+        listing = listing.where("error is null")
+    fresh = stale(old, listing)
+    if digest is None:
+        return _merged(old, listing, fresh), broken
+    # Read once: both results come from it, and a file may change in between.
+    fresh = checkpoint(digest(fresh.select(*KEYS)))
+    if "error" in fresh.columns:
+        broken = broken.unionByName(fresh.where("digest is null").select("path", "error"))
+    return _merged(old, listing, fresh.where("digest is not null")), broken

@@ -99,6 +99,13 @@ SELECT scan, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, round(sum
 
 FLAG_TEXT = "CASE WHEN flag & 8 <> 0 OR flag & 3 = 0 THEN '' ELSE ['D', 'J', 'K'][flag & 3] || CASE WHEN flag & 4 <> 0 THEN 'X' ELSE '' END END"
 
+# Paths of the tree are plain ASCII, so their width is their length, and times are whole seconds.
+INDEX_LINES = f"""
+e AS (SELECT *, row_number() OVER o AS n, lag(mod_ns) OVER o AS before, 8 + length(path) // 8 * 8 + 16 AS used FROM t2 WHERE flag & 4 = 0 OR flag & 3 <> 0
+      WINDOW o AS (PARTITION BY digest, size ORDER BY {_key('path')}, flag & 4, mod_ns, flag & 3)),
+a AS (SELECT *, greatest(104, max(used) OVER (PARTITION BY digest, size)) AS align FROM e),
+entry AS (SELECT n, {FLAG_TEXT} || chr(9) || path || CASE WHEN before IS DISTINCT FROM mod_ns THEN chr(9) || '//' || repeat(chr(9), ((align - used) // 8 + 1)::INT) || strftime(make_timestamp(mod_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS line FROM a)"""
+
 ORACLE_SQL = {
     "digest_groups": _with(T2) + f"SELECT digest, size, count(*) AS n, arg_min(path, {_key('path')}) AS first FROM t2 GROUP BY digest, size",
     "files_sorted": _with(T2) + f"SELECT path, digest, size, mod_ns, flag, row_number() OVER (PARTITION BY {PARENT.format('path')} ORDER BY {_key('path')}, flag & 4, mod_ns, flag & 3, size) AS n FROM t2",
@@ -130,6 +137,7 @@ ORACLE_SQL = {
     "alt_scores": _with(T2, content("t2"), CANDIDATES.replace("{t}", "t2"), stats("t2"), SCORES) + "SELECT dir, alt, n_safe, n_rest, round(score, 9) AS score FROM sc",
     "alt_best": _with(T2, content("t2"), CANDIDATES.replace("{t}", "t2"), stats("t2"), SCORES) + f"SELECT dir, alt, round(score, 9) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, {_key('alt')}) = 1",
     "index_parse": _with(T2) + "SELECT path, digest, size, mod_ns, flag FROM t2 WHERE flag & 4 = 0 OR flag & 3 <> 0",
+    "index_lines": _with(T2, INDEX_LINES) + "SELECT n, line FROM entry UNION ALL SELECT max(n) + 1, chr(9) || chr(9) || digest || chr(9) || size FROM e GROUP BY digest, size",
     "hash_compare": _with(T1) + f"SELECT {PARENT.format('path')} AS dir, count(*) AS n, count(DISTINCT digest) AS n_distinct, CASE WHEN count(*) >= 2 THEN count(DISTINCT digest) = 1 END AS identical FROM t1 GROUP BY 1",
     "progress_ewma": EWMA,
     "wide_groups": "SELECT 'u' || user_id % 20 || '/' || event_type AS dir, count(*) AS total_files, count(DISTINCT sha256(props || '|' || event_type || '|' || user_id % 50)) AS unique_files FROM events GROUP BY 1",

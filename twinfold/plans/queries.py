@@ -193,7 +193,7 @@ def file_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The body of the text index of the flagged tree; checked by a round trip in the tests."""
+    """The body of the text index of the flagged tree."""
     return codec.index_lines(flagged(spark, d)).select("n", "line")
 
 
