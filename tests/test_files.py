@@ -122,6 +122,24 @@ def test_cover_takes_copies_outside_only(spark):
     assert [r.dir for r in found.collect()] == ["P/D/"]
     assert {r.alt for r in dups.alternates(f, found).collect()} == {"P/", "Q/"}
     assert {(r.path, r.kept_path) for r in dups.file_map(f, found).collect()} == {("P/D/f1", "Q/f1")} | {(f"P/D/f{i}", f"P/g{i}") for i in range(2, 7)}
+    assert [(r.path, r.kept_path) for r in dups.file_map(f, found, alt="Q").collect()] == [("P/D/f1", "Q/f1")]
+    assert dups.file_map(f, found, alt="none").isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_of_random_trees(spark, seed):
+    """Candidates by looking at every copy of every file under a duplicate."""
+    rows = random_tree(seed, 60)
+    f = files(spark, rows)
+    found = checkpoint(dups.maximal(f, max_lost=2))
+    ups = lambda p: {"."} | {p[: i + 1] for i, c in enumerate(p) if c == "/"}
+    want = set()
+    for d in (r.dir for r in found.collect()):
+        for digest in {g for p, g, h in rows if p.startswith(d) and not h & 4}:
+            for own in {p[: p.rfind("/") + 1] for p, g, h in rows if g == digest and h & 15 in (0, 3) and not p.startswith(d)}:
+                atom = min((x for x in ups(own) if x.endswith(".git/")), key=len, default=own)
+                want |= {(d, up, digest) for up in ups(atom)}
+    assert {(r.dir, r.alt, r.digest) for r in dups.candidates(f, found).collect()} == want
 
 
 # Published digests of the hash function.

@@ -72,14 +72,25 @@ def ignored(files: DataFrame, dups: DataFrame) -> DataFrame:
     return _files_under(dups, files).where(ignorable()).select("dir", "path", "digest", "size", "mod_ns", "flag")
 
 
+def _places(files: DataFrame, dups: DataFrame, content: DataFrame) -> DataFrame:
+    """Safe copies of the content: their path, own (the directory) and lies (the duplicate that they are under, or null)."""
+    safe = files.where(flags.is_safe()).join(content.select("digest", "size").distinct(), ["digest", "size"], "left_semi")
+    safe = safe.select("path", "digest", "size", paths.parent("path").alias("own"))
+    under = safe.select("own").distinct().select("own", F.explode(paths.ancestors("own")).alias("lies"))
+    # No duplicate holds another, so a directory lies under one at most.
+    return safe.join(under.join(dups.select(F.col("dir").alias("lies")), "lies", "left_semi"), "own", "left")
+
+
 def candidates(files: DataFrame, dups: DataFrame) -> DataFrame:
-    """(dir, alt, digest, size): directories outside a duplicate that hold a safe copy of its content; atomic ones count whole."""
+    """(dir, alt, digest, size): directories outside a duplicate that hold a safe copy of its content; atomic ones count whole.
+
+    Copies are first lifted to (digest, alt) with the duplicates that they lie under, of which two tell enough: a copy is
+    outside of dir unless all of alt's copies lie under dir.  So copies never meet each other, only the result's rows."""
     want = dir_content(files).join(dups.select("dir"), "dir", "left_semi").where("n_real > 0 and n_outside > 0").select("dir", "digest", "size")
-    place = files.where(flags.is_safe()).select("digest", "size", paths.parent("path").alias("own")).distinct()
-    # A copy is outside if its own directory isn't under the duplicate.
-    outside = want.join(place, ["digest", "size"]).where(~paths.contains("dir", "own"))
-    lifted = outside.select("dir", "digest", "size", F.coalesce(paths.atom("own"), F.col("own")).alias("at")).distinct()
-    return lifted.select("dir", F.explode(paths.ancestors("at")).alias("alt"), "digest", "size").distinct()
+    at = _places(files, dups, want).select("digest", "size", F.coalesce(paths.atom("own"), F.col("own")).alias("at"), "lies").distinct()
+    lifted = at.select("digest", "size", F.explode(paths.ancestors("at")).alias("alt"), "lies")
+    held = lifted.groupBy("digest", "size", "alt").agg(F.min("lies").alias("a"), F.max("lies").alias("z"), F.max(F.col("lies").isNull()).alias("free"))
+    return want.join(held, ["digest", "size"]).where("free or a <> dir or z <> dir").select("dir", "alt", "digest", "size")
 
 
 def score(safe: Column, rest: Column, unique: Column, n_files: Column, n_dirs: Column) -> Column:
@@ -133,10 +144,18 @@ def dups(files: DataFrame, below: str = paths.ROOT, max_dups: int = 0, max_lost:
     return found.select("dir").join(names, "dir", "left").join(keyed(lost(files, found), "lost"), "dir", "left").join(keyed(ignored(files, found), "ignored"), "dir", "left").join(safe, "dir", "left")
 
 
-def file_map(files: DataFrame, dups: DataFrame, alts: DataFrame | None = None) -> DataFrame:
-    """(dir, path, kept_path): for every existing copy under a duplicate, the first safe copy in its alternate, outside the duplicate."""
+def file_map(files: DataFrame, dups: DataFrame, alts: DataFrame | None = None, alt: str | None = None) -> DataFrame:
+    """(dir, path, kept_path): for every existing copy under a duplicate, the first safe copy in its alternate, outside the duplicate.
+
+    alt: only what this alternate keeps; one that no duplicate has gives nothing."""
     chosen = alternates(files, dups) if alts is None else alts
-    place = files.where(flags.is_safe()).select("digest", "size", F.col("path").alias("kept"))
-    inside = chosen.join(place, ["digest", "size"]).where(paths.contains("alt", "kept") & ~paths.contains("dir", "kept"))
-    first = inside.groupBy("dir", "digest", "size").agg(F.min(F.struct(paths.path_key("kept").alias("k"), "kept")).getField("kept").alias("kept_path"))
-    return _files_under(dups, files).join(first, ["dir", "digest", "size"]).select("dir", "path", "kept_path")
+    if alt is not None:
+        chosen = chosen.where(F.col("alt") == paths.dir_path(F.lit(alt)))
+    # Of each alternate the first copy, and the first that doesn't lie under the same duplicate: one of them is outside of dir.
+    place = _places(files, dups, chosen).select("digest", "size", "lies", F.struct(paths.path_key("path").alias("k"), F.col("path").alias("kept")).alias("copy"), F.explode(paths.ancestors("own")).alias("alt"))
+    first = place.join(chosen.select("digest", "size", "alt").distinct(), ["digest", "size", "alt"], "left_semi").groupBy("digest", "size", "alt", "lies").agg(F.min("copy").alias("copy"))
+    order = Window.partitionBy("digest", "size", "alt").orderBy("copy")
+    two = first.withColumn("_n", F.row_number().over(order)).where("_n <= 2").drop("_n")
+    outside = chosen.join(two, ["digest", "size", "alt"]).where("lies is null or lies <> dir")
+    kept = outside.groupBy("dir", "digest", "size").agg(F.min("copy").getField("kept").alias("kept_path"))
+    return _files_under(dups, files).join(kept, ["dir", "digest", "size"]).select("dir", "path", "kept_path")

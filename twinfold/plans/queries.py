@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions import flags, paths
+from twinfold.functions.storage import checkpoint
 from twinfold.operators import dups, hashing, mark, rescan, tree
-from twinfold.plans.model import flagged, ignorable, listing, mirrored
+from twinfold.plans.model import COLUMNS, flagged, ignorable, listing, mirrored
 from twinfold.plans.oracle import ORACLE_SQL  # noqa: F401
 from twinfold.sources import codec
 from twinfold.streaming import progress
@@ -23,6 +24,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def judged(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and their maximal duplicates, written down, as queries read both several times."""
+    files = checkpoint(files.select(*COLUMNS))
+    return files, checkpoint(dups.maximal(files))
+
+
 @query
 def digest_groups(spark: SparkSession, d: str) -> DataFrame:
     return tree.group_by_digest(flagged(spark, d))
@@ -149,46 +156,46 @@ def dups_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dup_lost(spark: SparkSession, d: str) -> DataFrame:
-    f = flagged(spark, d)
-    return dups.lost(f, dups.maximal(f))
+    f, found = judged(flagged(spark, d))
+    return dups.lost(f, found)
 
 
 @query
 def dup_ignored(spark: SparkSession, d: str) -> DataFrame:
-    f = flagged(spark, d)
-    return dups.ignored(f, dups.maximal(f))
+    f, found = judged(flagged(spark, d))
+    return dups.ignored(f, found)
 
 
 @query
 def alt_candidates(spark: SparkSession, d: str) -> DataFrame:
-    f = flagged(spark, d)
-    return dups.candidates(f, dups.maximal(f)).groupBy("dir", "alt").agg(F.count(F.lit(1)).alias("n"))
+    f, found = judged(flagged(spark, d))
+    return dups.candidates(f, found).groupBy("dir", "alt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def alt_scores(spark: SparkSession, d: str) -> DataFrame:
-    f = flagged(spark, d)
-    return dups.scores(dups.candidates(f, dups.maximal(f)), tree.dir_stats(f)).withColumn("score", F.round("score", 9))
+    f, found = judged(flagged(spark, d))
+    return dups.scores(dups.candidates(f, found), tree.dir_stats(f)).withColumn("score", F.round("score", 9))
 
 
 @query
 def alt_best(spark: SparkSession, d: str) -> DataFrame:
-    f = flagged(spark, d)
-    return dups.best(dups.scores(dups.candidates(f, dups.maximal(f)), tree.dir_stats(f))).select("dir", "alt", F.round("score", 9).alias("score"))
+    f, found = judged(flagged(spark, d))
+    return dups.best(dups.scores(dups.candidates(f, found), tree.dir_stats(f))).select("dir", "alt", F.round("score", 9).alias("score"))
 
 
 @query
 def dup_alts(spark: SparkSession, d: str) -> DataFrame:
     """Greedy cover of every maximal duplicate directory; iterative, so without SQL."""
-    f = mirrored(spark, d)
-    return dups.alternates(f, dups.maximal(f)).groupBy("dir", "alt", "round").agg(F.count(F.lit(1)).alias("n"))
+    f, found = judged(mirrored(spark, d))
+    return dups.alternates(f, found).groupBy("dir", "alt", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def file_map(spark: SparkSession, d: str) -> DataFrame:
     """For every file of a maximal duplicate directory the copy that stays; iterative, so without SQL."""
-    f = mirrored(spark, d)
-    return dups.file_map(f, dups.maximal(f))
+    f, found = judged(mirrored(spark, d))
+    return dups.file_map(f, found)
 
 
 @query
